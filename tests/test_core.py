@@ -1,0 +1,127 @@
+"""Unit tests on literal rows: nulls, empty tables, ties, exact defect counts."""
+
+import datetime as dt
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.functions import draws as D
+from millrace.operators import defects, quality
+from millrace.plans import bronze
+from millrace.schemas import ORDERS, conform
+from millrace.sources import generate as G
+from millrace.sources.tables import sequence
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def fact(spark):
+    return spark.createDataFrame([(1, "A"), (2, None), (3, "Z")], "k int, p string")
+
+
+@pytest.mark.parametrize(
+    "keys, plain, aware",
+    [(["A", "B"], [3], [3]), (["A", None], [3], []), ([], [1, 3], [1, 2, 3])],
+)
+def test_orphans_in_both_forms(spark, fact, keys, plain, aware):
+    master = spark.createDataFrame([(k,) for k in keys], "key string")
+    assert [r[0] for r in rows(quality.orphan_rows(fact, "p", master, "key"))] == plain
+    assert [r[0] for r in rows(quality.orphan_rows(fact, "p", master, "key", null_aware=True))] == aware
+
+
+def test_orphan_plan_is_an_anti_join(spark, fact):
+    df = quality.orphan_rows(fact, "p", fact.select("p"), "p")
+    assert "LeftAnti" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_duplicates_and_measures(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("b", 1), ("c", 1), ("c", 2), (None, 1), (None, 2)], "k string, v int")
+    assert rows(quality.duplicate_keys(df, ["k"])) == [("b", 2), ("c", 2), (None, 2)]
+    assert rows(quality.duplicate_measures(df, ["k"])) == [(3, 6, 3)]
+    assert rows(quality.duplicate_measures(df.limit(0), ["k"])) == [(0, 0, 0)]
+
+
+def test_null_profile_on_rows_and_on_none(spark):
+    df = spark.createDataFrame([(None, dt.date(2024, 1, 1)), (1.0, None), (None, None)], "a double, d date")
+    assert rows(quality.null_profile(df, ["a", "d"])) == [("a", 3, 2), ("d", 3, 2)]
+    assert rows(quality.null_profile(df.limit(0), ["a", "d"])) == [("a", 0, 0), ("d", 0, 0)]
+    assert len(rows(quality.null_rows(df, "a"))) == 2
+
+
+def test_keys_are_never_cut(spark):
+    df = spark.createDataFrame([(7,), (999,), (1000,), (123456,)], "n bigint")
+    assert [r[0] for r in df.select(D.padded_key("U", F.col("n"), 3)).collect()] == ["U007", "U999", "U1000", "U123456"]
+    assert [r[0] for r in df.select(D.grouped_right(F.col("n"))).collect()] == ["     7", "   999", " 1,000", "123,456"]
+    wide = spark.createDataFrame([(12345678,)], "n bigint")
+    assert wide.select(D.grouped_right(F.col("n"))).first()[0] == "12,345,678"
+
+
+def test_halves_go_to_even(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double")
+    assert [r[0] for r in df.select(D.round_even(F.col("x"))).collect()] == [0.0, 2.0, 2.0]
+
+
+def test_default_orders_hold_the_planted_defects(spark):
+    orders, products = G.orders_dirty(spark), G.products(spark)
+    found = {(r[0], r[1]): r[2] for r in quality.quality_summary(orders, ["order_id"], ["amount", "order_date"], [("product_id", products, "product_id")]).collect()}
+    assert found == {("total", "*"): 1000, ("null", "amount"): 5, ("null", "order_date"): 5, ("duplicate", "order_id"): 5, ("orphan", "product_id"): 5}
+    assert orders.select("order_id").distinct().count() == 995
+    assert {r[0] for r in quality.orphan_rows(orders, "product_id", products, "product_id").collect()} <= {f"ORD{i:05d}" for i in range(991, 996)}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(1, 60), k=st.integers(0, 80))
+def test_copies_are_exact(spark, n, k):
+    df = sequence(spark, 1, n + 1).withColumnRenamed("id", "k")
+    made = defects.duplicate_first(df, ["k"], k)
+    assert made.count() == n + min(n, k)
+    assert quality.duplicate_keys(made, ["k"]).count() == min(n, k)
+
+
+@pytest.mark.parametrize("partitions", [4, 16])
+def test_draws_do_not_depend_on_partitions(spark, partitions):
+    assert rows(G.orders_clean(spark, 300, partitions=partitions)) == rows(G.orders_clean(spark, 300, partitions=1))
+    assert rows(G.users(spark, 120, partitions=partitions)) == rows(G.users(spark, 120, partitions=1))
+
+
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_generated_values_stay_in_bounds(spark, method):
+    got = G.orders_clean(spark, 2000, method=method).agg(F.min("amount"), F.max("amount"), F.min("order_date"), F.max("order_date"), F.countDistinct("product_id")).first()
+    assert got[0] >= 500 and got[1] <= 50000 and got[2] >= dt.date(2024, 1, 1) and got[3] <= dt.date(2024, 12, 31) and got[4] == 20
+
+
+def test_generator_plan_is_narrow(spark):
+    plan = G.orders_dirty(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_defects_on_empty_tables(spark):
+    df = spark.createDataFrame([], ORDERS)
+    assert defects.duplicate_first(df, ["order_id"], 5).count() == 0
+    assert defects.blank_alternately(df, F.lit(0), 1, "amount", "order_date").count() == 0
+    assert defects.break_reference(df, "product_id", F.lit(True), F.lit("P999")).count() == 0
+    assert conform(df, ORDERS).schema == ORDERS
+
+
+def test_publish_history_and_rerun(spark):
+    db = "millrace_test"
+    bronze.create_database(spark, db)
+    df = spark.range(3)
+    bronze.publish(spark, df, f"{db}.t", log=f"{db}.log")
+    again = bronze.publish(spark, df.withColumn("x", F.lit(1)), f"{db}.t", log=f"{db}.log")
+    assert again.count() == 3 and again.columns == ["id", "x"]
+    assert [r.version for r in bronze.history(spark, f"{db}.t", log=f"{db}.log").orderBy("timestamp").collect()] == [0, 1]
+    before = bronze.use_database(spark, db)
+    assert spark.catalog.currentDatabase() == db
+    bronze.use_database(spark, before)
+
+
+def test_entry_imports_without_the_llm_folders():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
