@@ -6,21 +6,36 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import languages
 from .packing import pack
+from .quality import quality
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark, d):
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op2_quality(spark, d):
+    return quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op4_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), BYTE_BPE)
 
 
+def op7_language(spark, d):
+    return languages(table(spark, d, "documents"))
+
+
 def op10_packing(spark, d):
     pieces = pack(table(spark, d, "documents"), WORD_BPE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op7_language, op10_packing)}
 ORACLES: dict[str, str] = {}
