@@ -150,7 +150,7 @@ def quality(docs: DataFrame, labels: DataFrame, split: int = 4, held: int = 2, p
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, FEATURES)
     y = got.column("label").to_numpy().astype(np.float64)
     model = fit_trees(x, y)
-    good, bad = known.agg(F.count_if("label = 1"), F.count_if("label = 0")).first()
+    good, bad = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if 0 < y.sum() < len(y):
         model.base += float(np.log(good / bad) - np.log(y.sum() / (len(y) - y.sum())))
 

@@ -176,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, split: int = 5, held: int = 0,
     a null held_out.
     """
     rows = training_rows(docs, labels, "toxic", split, held, per_class, longest).toArrow().combine_chunks().sort_by("doc_id")
-    counts = labels.filter(remainder("doc_id", split) != held).agg(F.count_if("toxic = 1"), F.count_if("toxic = 0")).first()
+    counts = labels.filter(remainder("doc_id", split) != held).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     share = counts[0] / max(1, counts[0] + counts[1])
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     model = train(texts, rows.column("label").to_numpy().astype(np.int64), share)
