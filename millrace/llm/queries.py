@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contaminated
 from .language import languages
 from .packing import pack
 from .quality import quality
 from .token_counts import token_counts
+from .topk import top_k
 from .toxicity import toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +30,14 @@ def op4_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), BYTE_BPE)
 
 
+def op5_top_k(spark, d):
+    return top_k(table(spark, d, "embeddings"))
+
+
+def op6_decontamination(spark, d):
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op7_language(spark, d):
     return languages(table(spark, d, "documents"))
 
@@ -37,5 +47,13 @@ def op10_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op7_language, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op10_packing)}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
+}
