@@ -1,0 +1,100 @@
+"""The Jaccard join against brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from millrace.llm import jaccard as J
+from tests.oracle import DATA
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def brute(docs, words, num, den):
+    sets = []
+    for _, text in docs:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = [d for d, _ in docs]
+    changed = True
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            if label[i] != low or label[j] != low:
+                label[i] = label[j] = low
+                changed = True
+    return sorted((d, len(s), c) for (d, _), s, c in zip(docs, sets, label, strict=True))
+
+
+def varied(seed, n=150):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(n):
+        if docs and rnd.random() < 0.7:
+            w = rnd.choice(docs)[1].split()
+            for _ in range(rnd.choice([0, 0, 1, 1, 2, 4])):
+                if w:
+                    k = rnd.randrange(len(w))
+                    w[k : k + 1] = rnd.choice([[], [rnd.choice(words)], [w[k], rnd.choice(words)]])
+            docs.append((i, " ".join(w)))
+        else:
+            docs.append((i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 5, 8, 13, 30, 60, 200])))))
+    return docs
+
+
+@pytest.mark.parametrize("words, num, den, group", [(3, 90, 100, J.GROUP_SHINGLES), (5, 80, 100, J.GROUP_SHINGLES), (3, 90, 100, 400), (5, 80, 100, 400)])
+def test_equals_brute_force(spark, words, num, den, group):
+    docs = varied(words * 100 + num)
+    got = J.jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(3), words, num, den, group)
+    assert sorted(map(tuple, got.collect())) == brute(docs, words, num, den)
+
+
+def test_given_documents(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    docs = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, J.jaccard_components(df, 3, 90, 100).collect())) == brute(docs, 3, 90, 100)
+
+
+def test_nulls_empty_ties_and_clashing_names(spark):
+    rows = [(1, None, "x", 5), (2, "", "x", 5), (3, "  \n", "x", 5), (4, "a b c d", "x", 5), (5, "A b\tC d", "y", 6), (5, "A b\tC d", "y", 6), (None, "a b c d", "z", 7), (6, "a b", "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, sid string, n int")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (None, 2, 4), (6, 1, 6)}
+    assert J.jaccard_components(df, 3, 90, 100).count() == 8
+    assert J.jaccard_components(df.limit(0), 3, 90, 100).count() == 0
+    kept = J.keep_one(df, words=3, num=90, den=100)
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
+
+
+def test_tree_prunes_without_losing_pairs():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 1 << 63, 120, dtype=np.uint64)) for _ in range(30)]
+    sets = base + [np.unique(np.append(b[rng.integers(0, 4) :], rng.integers(0, 1 << 63, 2, dtype=np.uint64))) for b in base for _ in range(5)]
+    rule = J.Rule(3, 90, 100)
+    offered = {(int(a), int(b)) for i, j in J.SignatureTree(sets).pairs(rule) for a, b in zip(i, j, strict=True)}
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if (k := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 90 * (len(sets[i]) + len(sets[j]) - k)}
+    assert true and true <= offered and len(offered) < len(sets) ** 2 / 8
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linking_sets_share_a_key(num):
+    rng = np.random.default_rng(num)
+    rule = J.Rule(3, num, 100)
+    for n in [1, 2, 4, 5, 6, 9, 10, 11, 19, 20, 37, 100, 501]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            drop, add = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 5 + 1))
+            b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                row, key = J.part_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), rule)
+                assert set(key[row == 0]) & set(key[row == 1])
+
+
+def test_long_text_is_one_set():
+    bounds, h = J.shingles(pa.array(["x " * 100_000, None, "é " * 2]), 3)
+    assert np.diff(bounds).tolist() == [1, 0, 1]
