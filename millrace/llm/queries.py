@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import contaminated
 from .jaccard import jaccard_components
 from .language import languages
+from .line_dedup import dedup_lines
 from .packing import pack
 from .quality import quality
 from .token_counts import token_counts
@@ -43,6 +44,10 @@ def op7_language(spark, d):
     return languages(table(spark, d, "documents"))
 
 
+def op8_line_dedup(spark, d):
+    return dedup_lines(table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_jaccard_join(spark, d):
     return jaccard_components(table(spark, d, "documents"), words=3, num=90, den=100)
 
@@ -52,7 +57,7 @@ def op10_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op9_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op8_line_dedup, op9_jaccard_join, op10_packing)}
 ORACLES: dict[str, str] = {
     "op5_top_k": """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
