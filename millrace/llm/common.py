@@ -78,7 +78,9 @@ def words_of(texts: pa.Array, lower: Callable = pc.ascii_lower) -> tuple[np.ndar
 
 def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values[bounds[i]:bounds[i + 1]]`` for each i, 0 for empty runs."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    if values.dtype.kind == "f":
+        return np.bincount(rows_of(bounds), values, len(bounds) - 1)
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 

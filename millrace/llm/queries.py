@@ -10,6 +10,7 @@ from .decontamination import contaminated
 from .jaccard import jaccard_components
 from .language import languages
 from .line_dedup import dedup_lines
+from .lm import lm_scores
 from .packing import pack
 from .quality import quality
 from .token_counts import token_counts
@@ -28,6 +29,10 @@ def op2_quality(spark, d):
     return quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op3_lm_scores(spark, d):
+    return lm_scores(table(spark, d, "documents"))
+
+
 def op4_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), BYTE_BPE)
 
@@ -57,7 +62,7 @@ def op10_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op8_line_dedup, op9_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_lm_scores, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op8_line_dedup, op9_jaccard_join, op10_packing)}
 ORACLES: dict[str, str] = {
     "op5_top_k": """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
