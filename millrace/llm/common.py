@@ -46,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """A stored table of ids marked for broadcast if it has at most ``most`` rows, as counted; else it is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts come to about SLICE_BYTES; a single longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch
+from .common import per_batch, sized, stored
 
 #: One edit is allowed for so many characters of an item; characters of items that one automaton holds.
 CHARS_PER_EDIT, BLOCK_CHARS = 16, 1 << 20
@@ -158,5 +158,5 @@ def contaminated(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold a benchmark item; all columns stay, and rows with a null doc_id too."""
-    hits = contaminated(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["__hit"], "left_anti")
+    hits = stored(contaminated(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct())
+    return docs.join(sized(hits), docs["doc_id"] == hits["__hit"], "left_anti")

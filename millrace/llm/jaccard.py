@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, rows_of, stored, words_of
+from .common import per_batch, rows_of, sized, stored, words_of
 from .graph import components
 
 #: Shingles that one group of a cluster holds; documents that stand for a cluster in each of its groups.
 GROUP_SHINGLES, PIVOTS = 1 << 21, 4
-#: Rows up to which a table of ids and clusters is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 400_000
 LEAF, FANOUT = 16, 8
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -244,11 +242,6 @@ def _linked(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """The table marked for broadcast if its rows are few, as counted."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -297,7 +290,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cluster", "block", "blocks")), out], names=["sid", "cluster", "block", "blocks", "shingles"]).filter(pa.array(right))
 
     wanted = placed.select(F.col("first_id").alias("__id"), "sid", "cluster", "block", "blocks")
-    texts = slim.join(_sized(wanted), slim["doc_id"] == wanted["__id"]).select("text", "sid", "cluster", "block", "blocks")
+    texts = slim.join(sized(wanted), slim["doc_id"] == wanted["__id"]).select("text", "sid", "cluster", "block", "blocks")
     loaded = texts.mapInArrow(per_batch(texts_to_sets), "sid bigint, cluster bigint, block int, blocks int, shingles binary")
     split = large.limit(1).count() > 0
     if split:
@@ -353,5 +346,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without words, and rows with a null doc_id, stay.
     """
     found = jaccard_components(docs, **options)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(sized(gone), docs["doc_id"] == gone["__gone"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, remainder, words_of
+from .common import per_batch, remainder, slices, words_of
 
 #: Labelled rows taken for each class, and the longest text among them, in characters.
 PER_CLASS, LONGEST = 3000, 8000
@@ -165,31 +165,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, split: int, he
     return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
 
 
+def fitted(docs: DataFrame, labels: DataFrame, split: int, held: int, per_class: int, longest: int) -> Model:
+    rows = training_rows(docs, labels, "toxic", split, held, per_class, longest).toArrow().combine_chunks().sort_by("doc_id")
+    toxic, clean = labels.filter(remainder("doc_id", split) != held).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
+    return train(texts, rows.column("label").to_numpy().astype(np.int64), toxic / max(1, toxic + clean))
+
+
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    bounds, codes, words = words_of(texts, lower=pc.utf8_lower)
+    starts, row = windows(bounds)
+    logit = np.full(len(texts), -np.inf)
+    if len(row):
+        np.maximum.at(logit, row, model.window_logits(words, codes, starts))
+    return 1 / (1 + np.exp(-logit))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, split: int = 5, held: int = 0, per_class: int = PER_CLASS, longest: int = LONGEST) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of ``docs``.
 
     The model is fitted on a bounded sample: at most ``per_class`` rows of each
     class, none longer than ``longest`` characters. Whole texts are scored. A
     null or empty text, or one of white space, scores 0. Without labelled rows
-    of both classes all texts get the same score, the share of toxic labels.
-    Repeated rows are scored each; other columns are ignored. A null doc_id has
-    a null held_out.
+    of both classes all other texts get the same score, the share of toxic
+    labels. Repeated rows are scored each; other columns are ignored. A null
+    doc_id has a null held_out.
     """
-    rows = training_rows(docs, labels, "toxic", split, held, per_class, longest).toArrow().combine_chunks().sort_by("doc_id")
-    counts = labels.filter(remainder("doc_id", split) != held).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    share = counts[0] / max(1, counts[0] + counts[1])
-    texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    model = train(texts, rows.column("label").to_numpy().astype(np.int64), share)
+    model = fitted(docs, labels, split, held, per_class, longest)
     slim = docs.select("doc_id", "text")
     kind = T.StructType([slim.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bounds, codes, words = words_of(batch.column("text"), lower=pc.utf8_lower)
-        starts, row = windows(bounds)
-        logit = np.full(batch.num_rows, -np.inf)
-        if len(row):
-            np.maximum.at(logit, row, model.window_logits(words, codes, starts))
-        return pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(scores(model, batch.column("text")))], names=["doc_id", "score"])
 
     scored = slim.mapInArrow(per_batch(score), kind)
     return scored.select("doc_id", (remainder("doc_id", split) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, split: int = 5, held: int = 0, per_class: int = PER_CLASS, longest: int = LONGEST) -> DataFrame:
+    """``docs`` without the rows that :func:`toxicity` predicts to be toxic; all columns stay. No row is shuffled."""
+    model = fitted(docs, labels, split, held, per_class, longest)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [scores(model, b.column(0)) for b in slices(pa.record_batch([texts], names=["text"]))] if len(texts) else []
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.filter(score("text") < 0.5)
