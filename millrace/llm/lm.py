@@ -35,7 +35,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, symbol by the last three bytes, class by the last two) of each word."""
     raw = words.cast(pa.large_binary()).to_pylist()
     h = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-    last = np.frombuffer(b"".join([(b"\0\0" + r)[-3:] for r in raw]), np.uint8).reshape(-1, 3).astype(np.uint64)
+    last = np.frombuffer(b"".join([(b"\0\0\0" + r)[-3:] for r in raw]), np.uint8).reshape(-1, 3).astype(np.uint64)
     two = (last[:, 1] << np.uint64(8) | last[:, 2]) * np.uint64(0x9E3779B97F4A7C15)
     three = ((last[:, 0] << np.uint64(16)) + (last[:, 1] << np.uint64(8)) + last[:, 2] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     return h, ((three >> np.uint64(33)) % np.uint64(SYMBOLS - COMMON - 1)).astype(np.int64) + COMMON + 1, (two >> np.uint64(40)).astype(np.int64) % TAILS
