@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): every end of a link with the smallest node that links lead to.
 
-    Labels move along links and are then replaced by their own label, so paths
-    shorten by half in each round. Each round is written out; links of a node
-    with very many are aggregated before they are shuffled.
+    A node whose label changed tells its neighbours, and labels are replaced by
+    their own label, so paths shorten by half in each round. Each round is
+    written out. Labels are aggregated before they are shuffled, so a node with
+    very many links is no burden to one task.
     """
     both = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))))
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
+    kind = both.schema["u"].dataType
+    state = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"), F.first("u").alias("old")))
     while True:
-        far = both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "label")
-        moved = stored(far.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        own = moved.select(F.col("node").alias("of"), F.col("label").alias("further"))
-        after = stored(moved.join(own, moved["label"] == own["of"]).select("node", F.least("label", "further").alias("label")))
-        old = labels.select(F.col("node").alias("n"), F.col("label").alias("before"))
-        if after.join(old, (after["node"] == old["n"]) & (after["label"] != old["before"])).limit(1).count() == 0:
-            return after
-        labels = after
+        changed = state.filter("label <> old").select(F.col("node").alias("of"), F.col("label").alias("far"))
+        if changed.limit(1).count() == 0:
+            return state.select("node", "label")
+        near = sized(changed)
+        told = both.join(near, both["u"] == changed["of"]).filter("far < v").select(F.col("v").alias("node"), F.col("far").alias("label"))
+        moved = state.select("node", "label").join(near, F.col("label") == changed["of"]).select("node", F.col("far").alias("label"))
+        news = told.unionByName(moved).withColumn("old", F.lit(None).cast(kind))
+        kept = state.select("node", "label", F.col("label").alias("old"))
+        state = stored(news.unionByName(kept).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))

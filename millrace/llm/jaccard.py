@@ -188,8 +188,8 @@ class SignatureTree:
                 stack.append((level + 1, ci[fine], cj[fine]))
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect all that links connect; sets with the same ``known`` label are taken as connected."""
+def joined_sets(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """(smallest, other) of the ids that links connect; sets with the same ``known`` label are taken as connected."""
     order = np.lexsort([[int(s[0]) if len(s) else 0 for s in sets], [len(s) for s in sets]])
     sets, ids = [sets[i] for i in order], ids[order]
     _, first = np.unique(known[order], return_inverse=True)
@@ -201,7 +201,6 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray, r
             x = parent[x]
         return x
 
-    out = []
     for i, j in SignatureTree(sets).pairs(rule) if len(sets) > 1 else ():
         top = np.array([root(x) for x in range(len(parent))])
         apart = top[first[i]] != top[first[j]]
@@ -214,31 +213,44 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray, r
             at[at == len(t)] = 0
             if int((t[at] == s).sum()) >= rule.needed(len(s) + len(t)):
                 parent[y] = x
-                out.append((int(ids[a]), int(ids[b])))
-    return out
+    own = np.array([root(x) for x in first.tolist()], np.int64)
+    order = np.lexsort([ids, own])
+    start = np.flatnonzero(np.diff(own[order], prepend=-1))
+    least = np.repeat(ids[order][start], np.diff(np.append(start, len(order))))
+    return [(int(a), int(b)) for a, b in zip(least, ids[order], strict=True) if a != b]
 
 
 def _runs(batches):
-    """(a, b): of sorted keys, the first set of each key with each further one."""
-    key, pivot = None, None
+    """(a, b): of sorted keys, the first set of each key with each further one, unless the task has connected them."""
+    key, pivot, parent = None, None, {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
     for batch in batches:
         k, s = batch.column("key").to_numpy(), batch.column("sid").to_numpy()
         if not len(k):
             continue
         new = np.diff(k, prepend=k[0]) != 0
         new[0] = key is None or k[0] != key
-        start = np.flatnonzero(new)
-        owner = np.cumsum(new) - 1
-        first = s[start]
-        a = np.where(owner >= 0, first[owner] if len(first) else 0, pivot if pivot is not None else 0)
-        fine = a != s
-        yield pa.record_batch([pa.array(a[fine], pa.int64()), pa.array(s[fine], pa.int64())], names=["a", "b"])
+        first, owner = s[np.flatnonzero(new)], np.cumsum(new) - 1
+        a = first[owner] if new[0] else np.append(first, pivot)[owner]
+        out = []
+        for x, y in zip(a[a != s].tolist(), s[a != s].tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((x, y))
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
         key, pivot = k[-1], a[-1]
 
 
 def _linked(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates("sid")
-    found = spanning_links(rows.sid.to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.shingles], rows.known.to_numpy(), rule)
+    found = joined_sets(rows.sid.to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.shingles], rows.known.to_numpy(), rule)
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -273,11 +285,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     # one row of keys for each distinct set
     distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"))
     dealt = distinct.select("sid", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "sid")
-    near = stored(dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("shared")))
+    # a set's first sets, of which it has no more than keys, are linked to the smallest of them
+    stars = dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("s"))
+    near = stars.select(F.col("s")[0].alias("a"), F.explode(F.array_append(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("b"))).alias("b")).distinct()
     firsts = stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n")))
     clusters = components(near)
-    joined = clusters.join(firsts, clusters["node"] == firsts["sid"]).select("sid", "first_id", "n", F.col("label").alias("cluster"))
-    members = stored(joined)
+    members = stored(firsts.join(sized(clusters), clusters["node"] == firsts["sid"]).select("sid", "first_id", "n", F.col("label").alias("cluster")))
     large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"), F.ceil(F.col("total") / group_shingles).cast("int").alias("blocks"))
     large = stored(large)
     placed = stored(members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), "blocks")).cast("int").alias("block")))
@@ -302,9 +315,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         groups = groups.unionByName(pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.col("sid").alias("known"), "shingles"))
     links = stored(groups.groupBy("cluster", "block").applyInPandas(lambda rows: _linked(rule, rows), link_kind))
     if split:
-        links = links.unionByName(_across(loaded, links, rule, group_shingles, link_kind))
-    found = components(links)
-    labelled = found.join(firsts, found["node"] == firsts["sid"]).select("sid", "first_id", "label")
+        found = components(links.unionByName(_across(loaded, links, rule, group_shingles, link_kind)))
+    else:  # each cluster was one group, which has named the smallest set of each component
+        found = links.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    labelled = stored(members.join(sized(found), members["sid"] == found["node"]).select("sid", "first_id", "label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     ids = labelled.select("sid", F.col("label").alias("l")).join(least, F.col("l") == F.col("label")).select(F.col("sid").alias("s1"), "component_id")
     resolved = stored(firsts.join(ids, firsts["sid"] == ids["s1"], "left").select(F.col("sid").alias("s2"), F.coalesce("component_id", "first_id").alias("component_id")))
