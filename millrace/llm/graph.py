@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written out. Labels are aggregated before they are shuffled, so a node with
     very many links is no burden to one task.
     """
-    both = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))))
+    way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = stored(links.select(F.inline(F.array(way(a, b), way(b, a)))))
     kind = both.schema["u"].dataType
     state = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"), F.first("u").alias("old")))
     while True:

@@ -16,9 +16,11 @@ from .common import per_batch, remainder, slices, words_of
 #: Labelled rows taken for each class, and the longest text among them, in characters.
 PER_CLASS, LONGEST = 3000, 8000
 #: Hashed rows of the embedding, its width, the lengths of byte n-grams, and words to a window.
-BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 16, (3, 4, 5, 6), 32
+BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 16, (3, 4, 5, 6), 8
+#: Words that are cut into subwords at once.
+RUN = 20_000
 #: The softmax sees averages times this, as one telling word among WINDOW must be enough.
-SCALE = np.float32(32)
+SCALE = np.float32(WINDOW)
 
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +75,13 @@ class Model:
         """The largest window decides; a window's logit is the mean over words of the mean over subwords."""
         if not len(codes):
             return np.zeros(0)
-        word, buckets = subwords(words)
-        by_word = np.bincount(word, self.weight[buckets], len(words)) / np.bincount(word, minlength=len(words))
+        by_word = np.zeros(len(words))
+        for at in range(0, len(words), RUN):
+            word, buckets = subwords(words[at : at + RUN])
+            by_word[at : at + RUN] = np.bincount(word, self.weight[buckets]) / np.bincount(word)
+        return self.pooled(by_word, codes, starts)
+
+    def pooled(self, by_word: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         ends = np.append(starts[1:], len(codes))
         return SCALE * np.add.reduceat(by_word[codes], starts) / (ends - starts) + self.bias
 
@@ -94,9 +101,13 @@ def train(texts: pa.Array, labels: np.ndarray, positive_share: float, seed: int
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     ends = np.append(starts[1:], len(codes))
     ends = np.minimum(ends, bounds[1:][row])
-    word, buckets = subwords(words)
-    buckets = buckets[np.argsort(word, kind="stable")]
-    sub_bounds = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
+    parts, counts = [], []
+    for at in range(0, len(words), RUN):
+        word, b = subwords(words[at : at + RUN])
+        parts.append(b[np.argsort(word, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(word))
+    buckets, sub_bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    del parts
     emb = rng.normal(0, 0.3 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
     seen = [np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
@@ -142,7 +153,9 @@ def train(texts: pa.Array, labels: np.ndarray, positive_share: float, seed: int
     docs = np.flatnonzero(per_doc)
     first = np.searchsorted(row, docs)
     for rate in (0.1, 0.1, 0.07, 0.05, 0.03, 0.02):
-        logits = model().window_logits(words, codes, starts)
+        now = model()
+        by_word = np.concatenate([np.add.reduceat(now.weight[buckets[sub_bounds[a] : sub_bounds[b]]], sub_bounds[a:b] - sub_bounds[a]) for a, b in zip(range(0, len(words), RUN), [*range(RUN, len(words), RUN), len(words)], strict=True)])
+        logits = now.pooled(by_word / np.diff(sub_bounds), codes, starts)
         best = np.lexsort([logits, row])[np.append(first[1:], len(row)) - 1]
         other = first + rng.integers(0, per_doc[docs])
         picked = np.concatenate([best, other[(labels[docs] == 0) & (other != best)]])
