@@ -92,12 +92,12 @@ def totals(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def set_ids(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each set, the same for equal sets."""
-    return mixed(totals(mixed(h + np.uint64(1)), bounds) ^ (np.diff(bounds).astype(np.uint64) << np.uint64(40))).view(np.int64)
+    """One even 64-bit number for each set, the same for equal sets."""
+    return mixed(totals(mixed(h + np.uint64(1)), bounds) ^ (np.diff(bounds).astype(np.uint64) << np.uint64(40))).view(np.int64) & ~1
 
 
-def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): of each set, the hash of each part, for its size class and the next one.
+def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, step): of each set, the hash of each part, for its size class (step 0) and the next one (step 1).
 
     There are a few more parts than the sets of a class can differ in. A set
     with so few parts that hold anything that all could differ also has keys of
@@ -106,14 +106,15 @@ def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray
     """
     size = np.diff(bounds)
     limit = rule.classes(int(size.max(initial=1)))
-    rows, keys = [], []
+    rows, keys, steps = [], [], []
     salted = mixed(h ^ np.uint64(0x94D049BB133111EB))
     high = h >> np.uint64(32)
     row = rows_of(bounds)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = np.searchsorted(limit, size, "left")
-    for cls in (own, own + 1):
+    for step in (0, 1):
+        cls = own + step
         most = rule.differing(2 * limit[cls])
         count = most + 2 + most // 20
         part = (high * count.astype(np.uint64)[row]) >> np.uint64(32)
@@ -122,13 +123,15 @@ def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray
         at = row[start]
         name = (cls.astype(np.uint64)[at] << np.uint64(32)) + part[start]
         rows.append(at)
+        steps.append(np.full(len(at), step))
         keys.append(mixed(total ^ mixed(name + np.uint64(7))))
         filled = np.bincount(at, minlength=len(size))
         for i in np.flatnonzero((size > 0) & (filled <= most)):
             empty = np.setdiff1d(np.arange(count[i]), part[bounds[i] : bounds[i + 1]].astype(np.int64))
             rows.append(np.full(len(empty), i))
+            steps.append(np.full(len(empty), step))
             keys.append(mixed(mixed((np.uint64(cls[i]) << np.uint64(32)) + empty.astype(np.uint64) + np.uint64(7)) ^ np.uint64(0xFEED)))
-    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(steps)
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -272,25 +275,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
-        row, keys = part_keys(bounds, h, rule)
-        order = np.argsort(row, kind="stable")
+        row, keys, step = part_keys(bounds, h, rule)
+        order = np.lexsort([step, row])
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
         return pa.record_batch(
-            [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
-            names=["doc_id", "n_shingles", "sid", "keys"],
+            [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
+            names=["doc_id", "n_shingles", "sid", "n_own", "keys"],
         )
 
-    base = stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
+    base = stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
     full = base.filter("n_shingles > 0")
-    # one row of keys for each distinct set
-    distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"))
-    dealt = distinct.select("sid", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "sid")
+    # one row of keys for each distinct set; in its next size class a set goes by the odd number after its own
+    distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n_own").alias("n_own"))
+    dealt = distinct.select("sid", "n_own", F.posexplode("keys").alias("i", "key"))
+    dealt = dealt.select("key", (F.col("sid") + (F.col("i") >= F.col("n_own")).cast("bigint")).alias("sid")).repartition("key").sortWithinPartitions("key", "sid")
     # a set's first sets, of which it has no more than keys, are linked to the smallest of them
     stars = dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("s"))
     near = stars.select(F.col("s")[0].alias("a"), F.explode(F.array_append(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("b"))).alias("b")).distinct()
     firsts = stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n")))
     clusters = components(near)
-    members = stored(firsts.join(sized(clusters), clusters["node"] == firsts["sid"]).select("sid", "first_id", "n", F.col("label").alias("cluster")))
+    clusters = clusters.select(F.col("node").bitwiseAND(F.lit(-2)).alias("of"), F.col("label").alias("cluster"))
+    members = stored(firsts.join(sized(clusters), clusters["of"] == firsts["sid"]).select("sid", "first_id", "n", "cluster"))
     large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"), F.ceil(F.col("total") / group_shingles).cast("int").alias("blocks"))
     large = stored(large)
     placed = stored(members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), "blocks")).cast("int").alias("block")))
@@ -315,10 +320,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         groups = groups.unionByName(pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.col("sid").alias("known"), "shingles"))
     links = stored(groups.groupBy("cluster", "block").applyInPandas(lambda rows: _linked(rule, rows), link_kind))
     if split:
-        found = components(links.unionByName(_across(loaded, links, rule, group_shingles, link_kind)))
-    else:  # each cluster was one group, which has named the smallest set of each component
-        found = links.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-    labelled = stored(members.join(sized(found), members["sid"] == found["node"]).select("sid", "first_id", "label"))
+        links = links.unionByName(_across(loaded, links, rule, group_shingles, link_kind))
+    found = components(links)
+    labelled = stored(firsts.join(sized(found), firsts["sid"] == found["node"]).select("sid", "first_id", "label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     ids = labelled.select("sid", F.col("label").alias("l")).join(least, F.col("l") == F.col("label")).select(F.col("sid").alias("s1"), "component_id")
     resolved = stored(firsts.join(ids, firsts["sid"] == ids["s1"], "left").select(F.col("sid").alias("s2"), F.coalesce("component_id", "first_id").alias("component_id")))

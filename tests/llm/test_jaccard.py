@@ -91,7 +91,7 @@ def test_linking_sets_share_a_key(num):
             drop, add = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 5 + 1))
             b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)))
             if len(b) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
-                row, key = J.part_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), rule)
+                row, key, _ = J.part_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), rule)
                 assert set(key[row == 0]) & set(key[row == 1])
 
 
