@@ -64,10 +64,33 @@ def runs_encoded(path: str, pieces: list[str], gap: str) -> tuple[np.ndarray, np
     return np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(pieces)), np.array(whole.ids, "<u4")
 
 
+@cache
+def word_ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
 def _ids(path: str, words: list[str]) -> list[bytes]:
-    n, ids = runs_encoded(path, words, " ")
-    raw, ends = ids.tobytes(), np.cumsum(n * 4).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    """A word of ASCII letters has one id that ends a word, its last; other words are told apart by their places."""
+    out: list[bytes] = [b""] * len(words)
+    plain = [i for i, w in enumerate(words) if w.isalpha() and w.isascii()]
+    other = [i for i, w in enumerate(words) if not (w.isalpha() and w.isascii())]
+    if plain:
+        ids = np.array(tokenizer(path).encode(" ".join([words[i] for i in plain]), add_special_tokens=False).ids, "<u4")
+        _fill(out, plain, ids, np.flatnonzero(word_ends(path)[ids]) + 1)
+    if other:
+        n, ids = runs_encoded(path, [words[i] for i in other], " ")
+        _fill(out, other, ids, np.cumsum(n))
+    return out
+
+
+def _fill(out: list[bytes], at: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+    raw, ends = ids.tobytes(), (4 * ends).tolist()
+    for i, a, b in zip(at, [0, *ends[:-1]], ends, strict=True):
+        out[i] = raw[a:b]
 
 
 def _counts(path: str, units: list[str]) -> list[int]:
