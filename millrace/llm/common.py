@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked through in slices of about this many bytes, whatever the size of an Arrow batch.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,13 @@ def rows_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay between stages, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable:
     """A mapInArrow function that applies ``fn`` to each slice."""
 
@@ -102,5 +110,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Call
             for part in slices(batch) if batch.num_rows else ():
                 out = fn(part)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                del out
+        give_back()
 
     return run

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, rows_of, sized, stored, words_of
+from .common import give_back, per_batch, rows_of, sized, stored, words_of
 from .graph import components
 
 #: Shingles that one group of a cluster holds; documents that stand for a cluster in each of its groups.
-GROUP_SHINGLES, PIVOTS = 1 << 21, 4
+GROUP_SHINGLES, PIVOTS = 1 << 20, 4
 LEAF, FANOUT = 16, 8
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -254,6 +254,7 @@ def _runs(batches):
 def _linked(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates("sid")
     found = joined_sets(rows.sid.to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.shingles], rows.known.to_numpy(), rule)
+    give_back()
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 

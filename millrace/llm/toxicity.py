@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, remainder, slices, words_of
+from .common import give_back, per_batch, remainder, slices, words_of
 
 #: Labelled rows taken for each class, and the longest text among them, in characters.
 PER_CLASS, LONGEST = 3000, 8000
@@ -222,6 +222,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, split: int = 5, held: int = 0
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         parts = [scores(model, b.column(0)) for b in slices(pa.record_batch([texts], names=["text"]))] if len(texts) else []
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(score("text") < 0.5)
