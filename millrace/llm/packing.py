@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import per_batch, rows_of
+from .common import give_back, per_batch, rows_of
 
 #: Bytes of text that a group holds on average; a document's full sequences are dealt to many groups.
 GROUP_BYTES = 16 << 20
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         flat = [(i, s, k, b, o) for b, pieces in enumerate(bins) for (i, s, k), o in zip(pieces, np.cumsum([0, *[p[2] for p in pieces]]).tolist(), strict=False)]
         item, cut_at, length, bin_no, offset = (np.array(x, np.int64) for x in zip(*flat, strict=True))
         take = pa.array(item)
+        give_back()
         return pa.table(
             [
                 rows.column("doc_id").take(take),
