@@ -52,23 +52,28 @@ def sized(df: DataFrame, most: int = 400_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts come to about SLICE_BYTES; a single longer text is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts come to about ``size`` bytes; a single longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 
 
+def own(texts: pa.Array) -> pa.Array:
+    """The same texts in buffers of their own, from 0: offsets of a cast slice don't start there, which ``ascii_lower`` doesn't heed."""
+    return pa.concat_arrays([texts, texts.slice(0, 0)])
+
+
 def words_of(texts: pa.Array, lower: Callable = pc.ascii_lower) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space, as (row bounds, codes, distinct words). Null is an empty text.
 
     Row i has the words ``distinct[codes[bounds[i]:bounds[i + 1]]]``.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = own(pc.fill_null(texts, "")).cast(pa.large_string())
     lists = pc.ascii_split_whitespace(lower(texts) if lower else texts)
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard as J
+from millrace.llm.queries import QUERIES
 from tests.oracle import DATA
 
 SCHEMA = "doc_id bigint, text string"
@@ -98,3 +99,30 @@ def test_linking_sets_share_a_key(num):
 def test_long_text_is_one_set():
     bounds, h = J.shingles(pa.array(["x " * 100_000, None, "é " * 2]), 3)
     assert np.diff(bounds).tolist() == [1, 0, 1]
+
+
+def test_query_equals_brute_force_over_many_slices(spark):
+    d = f"{DATA}/sf0.1"
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    sets, at = {}, {}
+    for i, text in docs:
+        w = (text or "").encode().lower().split()
+        sets[i] = {hash(tuple(w[k : k + 3])) for k in range(max(1, len(w) - 2))} if w else set()
+        for s in sets[i]:
+            at.setdefault(s, []).append(i)
+    label = {i: i for i in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, own in sets.items():
+        # linking sets of size n differ from a set in n // 9 elements at most, so that they share one of any n // 9 + 1
+        for j in {j for s in sorted(own, key=lambda s: len(at[s]))[: len(own) // 9 + 1] for j in at[s] if j != i}:
+            k = len(own & sets[j])
+            if 100 * k >= 90 * (len(own) + len(sets[j]) - k):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op9_jaccard_join"](spark, d).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}

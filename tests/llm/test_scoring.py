@@ -212,3 +212,23 @@ def test_model_is_a_distribution():
 def test_words_split_at_ascii_white_space_alone():
     bounds, codes, words = words_of(pa.array([" A b\x0bC d ", None, "", "x\x1cy"]))
     assert [[words[c].as_py() for c in codes[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] == [["a", "b", "c d"], [], [], ["x\x1cy"]]
+
+
+def test_language_model_counts_by_brute_force_over_many_slices(spark):
+    d = f"{DATA}/sf0.1"
+    docs = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    counts = collections.Counter()
+    for i, words in docs:
+        if not held(i, 10, 0):
+            counts.update(words)
+            counts[None] += 1
+    n = sum(counts.values())
+    base = {w: math.log10((c + 0.1) / (n + 0.1 * (len(counts) + 1))) for w, c in counts.items()}
+    unknown = math.log10(0.1 / (n + 0.1 * (len(counts) + 1)))
+    got = {r.doc_id: r for r in QUERIES["op3_lm_scores"](spark, d).collect()}
+    assert len(got) == len(docs)
+    for i, words in docs:
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(w in counts for w in words) + 1, n)
+        assert abs(r.base_score - sum(base.get(w, unknown) for w in [*words, None])) < 1e-6 * len(words) + 1e-6
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
