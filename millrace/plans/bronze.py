@@ -30,6 +30,11 @@ def create_database(sp: SparkSession, name: str, location: str | None = None) ->
     sp.sql(f"CREATE DATABASE IF NOT EXISTS {name}{at}")
 
 
+def drop_database(sp: SparkSession, name: str) -> None:
+    """Drop the database with its tables, if it is there."""
+    sp.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
 def use_database(sp: SparkSession, name: str) -> str:
     """Make ``name`` current and return the database that was current before."""
     before = sp.catalog.currentDatabase()

@@ -16,7 +16,7 @@ from .functions import draws as D
 from .operators import defects, quality
 from .plans import bronze
 from .sources import generate as G
-from .sources.tables import catalog_table, read, sequence, view_head
+from .sources.tables import catalog_table, read, sequences, view_head
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,8 +112,10 @@ def quality_summary(sp, d):
 
 
 def gen_sequence(sp, d):
-    n = read(sp, d, "orders").count()
-    return sequence(sp, 1, n + 1).select(F.col("id").alias("n"), F.col("id").cast("string").alias("n_text"), (F.col("id") + 99).alias("shifted"))
+    """For each order, the integers from its key up to five further ones."""
+    key = F.col("o_orderkey")
+    rows = sequences(read(sp, d, "orders").select("o_orderkey"), key, key + key % 6, "n")
+    return rows.select("o_orderkey", "n", F.col("n").cast("string").alias("n_text"), (F.col("n") + 99).alias("shifted"))
 
 
 def gen_products(sp, d):
@@ -123,19 +125,20 @@ def gen_products(sp, d):
 
 
 def gen_users(sp, d):
-    return G.users(sp, read(sp, d, "customer").count())
+    return G.users(sp, ids=read(sp, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-def _shape(sp, d):
-    return G.OrderShape.scaled(read(sp, d, "orders").count(), 100, len(G.CATALOG))
+def _order_ids(sp, d):
+    return read(sp, d, "orders").select(F.col("o_orderkey").alias("id"))
 
 
 def gen_orders_clean(sp, d):
-    return G.orders_clean(sp, read(sp, d, "orders").count())
+    return G.orders_clean(sp, ids=_order_ids(sp, d))
 
 
 def gen_orders_dirty(sp, d):
-    return G.orders_dirty(sp, _shape(sp, d))
+    ids = _order_ids(sp, d)
+    return G.orders_dirty(sp, G.OrderShape.scaled(ids.count(), 100, len(G.CATALOG)), ids=ids)
 
 
 def fn_keys(sp, d):
@@ -166,28 +169,37 @@ def preview_top5(sp, d):
     return bronze.preview(read(sp, d, "part"), 5, ["p_partkey"])
 
 
-def _database(sp: SparkSession) -> str:
-    """A database of its own for each call, in the warehouse that all executors share."""
-    name = f"millrace_{uuid.uuid4().hex[:12]}"
+#: The database of each query's last call.
+_DATABASES: dict[str, str] = {}
+
+
+def _database(sp: SparkSession, query: str) -> str:
+    """A database of its own for each call, in the warehouse that all executors share.
+
+    What a query returns reads its tables, so they stay until it is called again.
+    """
+    if query in _DATABASES:
+        bronze.drop_database(sp, _DATABASES[query])
+    name = _DATABASES[query] = f"millrace_{uuid.uuid4().hex[:12]}"
     bronze.create_database(sp, name)
     bronze.create_database(sp, name)  # a repeat changes nothing
     return name
 
 
 def bronze_roundtrip(sp, d):
-    db = _database(sp)
+    db = _database(sp, "bronze_roundtrip")
     bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
     return catalog_table(sp, f"{db}.bronze_orders")
 
 
 def bronze_rerun(sp, d):
-    db = _database(sp)
+    db = _database(sp, "bronze_rerun")
     bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
     return bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
 
 
 def bronze_schema_replace(sp, d):
-    db = _database(sp)
+    db = _database(sp, "bronze_schema_replace")
     bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
     changed = _orders(sp, d).drop("o_orderstatus").withColumn("is_large", F.col("amount") > 100000)
     return bronze.publish(sp, changed, f"{db}.bronze_orders")
@@ -195,7 +207,7 @@ def bronze_schema_replace(sp, d):
 
 def bronze_current_db(sp, d):
     """An unqualified name resolves in the database that was made current; the session's own is put back."""
-    db = _database(sp)
+    db = _database(sp, "bronze_current_db")
     bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
     before = bronze.use_database(sp, db)
     try:
@@ -210,8 +222,8 @@ def parquet_roundtrip(sp, d):
     return sp.read.schema(part.schema).parquet(bronze.write_parquet(part, out, "part"))
 
 
-def _three(sp, d) -> list[str]:
-    db = _database(sp)
+def _three(sp, d, query: str) -> list[str]:
+    db = _database(sp, query)
     for t in ("orders", "part", "customer"):
         bronze.publish(sp, read(sp, d, t), f"{db}.bronze_{t}")
     return [f"{db}.bronze_{t}" for t in ("orders", "part", "customer")]
@@ -222,16 +234,16 @@ def _short(df: DataFrame) -> DataFrame:
 
 
 def bronze_counts(sp, d):
-    return _short(bronze.table_counts(sp, _three(sp, d)))
+    return _short(bronze.table_counts(sp, _three(sp, d, "bronze_counts")))
 
 
 def load_summary(sp, d):
-    return _short(bronze.load_summary(bronze.table_counts(sp, _three(sp, d))))
+    return _short(bronze.load_summary(bronze.table_counts(sp, _three(sp, d, "load_summary"))))
 
 
 def load_history(sp, d):
     """Two loads of one table; the times vary, so only their order is returned."""
-    db = _database(sp)
+    db = _database(sp, "load_history")
     for _ in range(2):
         bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders", log=f"{db}.load_log")
     past = bronze.history(sp, f"{db}.bronze_orders", log=f"{db}.load_log")
@@ -284,11 +296,11 @@ UNION ALL SELECT 'null', 'amount', count(*) FROM t WHERE amount IS NULL
 UNION ALL SELECT 'null', 'order_date', count(*) FROM t WHERE order_date IS NULL
 UNION ALL SELECT 'duplicate', 'o_orderkey', count(*) FROM (SELECT o_orderkey FROM t GROUP BY o_orderkey HAVING count(*) > 1)
 UNION ALL SELECT 'orphan', 'o_custkey', count(*) FROM t WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
-    "gen_sequence": "SELECT n, CAST(n AS VARCHAR) AS n_text, n + 99 AS shifted FROM range(1, (SELECT count(*) + 1 FROM orders)) t(n)",
+    "gen_sequence": "SELECT o_orderkey, n, CAST(n AS VARCHAR) AS n_text, n + 99 AS shifted FROM (SELECT o_orderkey, unnest(range(o_orderkey, o_orderkey + o_orderkey % 6)) AS n FROM orders)",
     "gen_products": "SELECT p_partkey, product_id, product_name, category FROM part JOIN (VALUES " + ", ".join(str(x) for x in G.CATALOG) + ") c(product_id, product_name, category) ON product_id = printf('P%03d', 1 + p_partkey % 20)",
-    "gen_users": f"SELECT printf('U%03d', id) AS user_id, {_list(G.LAST_NAMES)}[1 + {draw_sql('last', 'id')} % 20] || {_list(G.FIRST_NAMES)}[1 + {draw_sql('first', 'id')} % 20] AS user_name, {_list(G.REGIONS)}[1 + {draw_sql('region', 'id')} % 8] AS region FROM range(1, (SELECT count(*) + 1 FROM customer)) t(id)",
-    "gen_orders_clean": f"SELECT {_order_sql('id', '(SELECT count(*) FROM orders)', '0')} FROM range(1, (SELECT count(*) + 1 FROM orders)) t(id)",
-    "gen_orders_dirty": f"WITH b AS (SELECT id, k FROM (SELECT {_K} AS k), range(1, 995 * {_K} + 1) t(id)), o AS (SELECT id, k, {_order_sql('id', '980 * k', '10 * k')} FROM b) SELECT order_id, user_id, product_id, amount, order_date FROM o UNION ALL SELECT order_id, user_id, product_id, amount, order_date FROM o WHERE id <= 5 * k",
+    "gen_users": f"SELECT printf('U%03d', id) AS user_id, {_list(G.LAST_NAMES)}[1 + {draw_sql('last', 'id')} % 20] || {_list(G.FIRST_NAMES)}[1 + {draw_sql('first', 'id')} % 20] AS user_name, {_list(G.REGIONS)}[1 + {draw_sql('region', 'id')} % 8] AS region FROM (SELECT c_custkey AS id FROM customer)",
+    "gen_orders_clean": f"SELECT {_order_sql('id', '4611686018427387904', '0')} FROM (SELECT o_orderkey AS id FROM orders)",
+    "gen_orders_dirty": f"WITH b AS (SELECT o_orderkey AS id, {_K} AS k FROM orders WHERE o_orderkey BETWEEN 1 AND 995 * {_K}), o AS (SELECT id, k, {_order_sql('id', '980 * k', '10 * k')} FROM b) SELECT order_id, user_id, product_id, amount, order_date FROM o UNION ALL SELECT order_id, user_id, product_id, amount, order_date FROM o WHERE id <= 5 * k",
     "fn_keys": "SELECT c_custkey, printf('U%03d', c_custkey) AS short_key, printf('ORD%05d', c_custkey * 97) AS long_key, '#' || CAST(c_custkey AS VARCHAR) AS plain_key FROM customer",
     "fn_draws": f"SELECT o_orderkey, 1 + {draw_sql('a', 'o_orderkey')} % 20 AS an_int, round_even(500e0 + 49500e0 * {draw_sql('b', 'o_orderkey')} / 4294967296e0, 0) AS an_amount, DATE '{G.FIRST_DAY}' + ({draw_sql('c', 'o_orderkey')} % 366)::INT AS a_day, {_list(G.REGIONS)}[1 + {draw_sql('d', 'o_orderkey')} % 8] AS a_region, date_diff('day', DATE '{G.FIRST_DAY}', CAST(o_orderdate AS DATE))::INT AS days_after FROM orders",
     "view_sql_limit": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 10",

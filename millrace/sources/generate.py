@@ -66,9 +66,9 @@ def user_columns(key: Column, seed: int = SEED, method: str = "md5") -> list[Col
     ]
 
 
-def users(sp: SparkSession, n: int = 100, seed: int = SEED, method: str = "md5", partitions: int | None = None) -> DataFrame:
-    """``n`` users U001.. with a drawn name and region."""
-    ids = sp.range(1, n + 1, 1, partitions)
+def users(sp: SparkSession, n: int = 100, seed: int = SEED, method: str = "md5", partitions: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """``n`` users U001.. with a drawn name and region, or one for each ``id`` of ``ids``."""
+    ids = sp.range(1, n + 1, 1, partitions) if ids is None else ids
     return conform(ids.select(*user_columns(F.col("id"), seed, method)), USERS)
 
 
@@ -109,18 +109,26 @@ def order_columns(key: Column, shape: OrderShape, seed: int = SEED, method: str
     ]
 
 
-def orders_clean(sp: SparkSession, n: int = 980, shape: OrderShape | None = None, seed: int = SEED, method: str = "md5", partitions: int | None = None) -> DataFrame:
-    """``n`` orders without defects."""
+def orders_clean(sp: SparkSession, n: int = 980, shape: OrderShape | None = None, seed: int = SEED, method: str = "md5", partitions: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """``n`` orders without defects, or one for each ``id`` of ``ids``."""
     base = shape or OrderShape()
-    only = OrderShape(n, 0, 0, 0, base.n_users, base.n_products)
-    return conform(sp.range(1, n + 1, 1, partitions).select(*order_columns(F.col("id"), only, seed, method)), ORDERS)
+    only = OrderShape(n if ids is None else 2**62, 0, 0, 0, base.n_users, base.n_products)
+    ids = sp.range(1, n + 1, 1, partitions) if ids is None else ids
+    return conform(ids.select(*order_columns(F.col("id"), only, seed, method)), ORDERS)
 
 
-def orders_dirty(sp: SparkSession, shape: OrderShape | None = None, seed: int = SEED, method: str = "md5", partitions: int | None = None) -> DataFrame:
-    """Clean, missing and orphan orders as bands of one range, and whole copies of the first few."""
+def orders_dirty(sp: SparkSession, shape: OrderShape | None = None, seed: int = SEED, method: str = "md5", partitions: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Clean, missing and orphan orders as bands of one range, and whole copies of the first few.
+
+    With ``ids`` the orders are those of its ``id`` values within the range.
+    """
     shape = shape or OrderShape()
     columns = order_columns(F.col("id"), shape, seed, method)
     total = shape.clean + shape.missing + shape.orphans
-    body = sp.range(1, total + 1, 1, partitions).select(*columns)
-    copies = sp.range(1, min(shape.copies, shape.clean) + 1, 1, 1).select(*columns)
+    copied = min(shape.copies, shape.clean)
+    if ids is None:
+        body, first = sp.range(1, total + 1, 1, partitions), sp.range(1, copied + 1, 1, 1)
+    else:
+        body, first = ids.filter(F.col("id").between(1, total)), ids.filter(F.col("id").between(1, copied))
+    body, copies = body.select(*columns), first.select(*columns)
     return conform(body.unionByName(copies), ORDERS)

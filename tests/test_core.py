@@ -1,6 +1,11 @@
 """Unit tests on literal rows: nulls, empty tables, ties, exact defect counts."""
 
 import datetime as dt
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +17,7 @@ from millrace.operators import defects, quality
 from millrace.plans import bronze
 from millrace.schemas import ORDERS, conform
 from millrace.sources import generate as G
-from millrace.sources.tables import sequence
+from millrace.sources.tables import sequence, sequences
 
 
 def rows(df):
@@ -121,7 +126,43 @@ def test_publish_history_and_rerun(spark):
     bronze.use_database(spark, before)
 
 
-def test_entry_imports_without_the_llm_folders():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
+def test_users_and_orders_of_given_ids(spark):
+    ids = spark.createDataFrame([(3,), (7,), (985,), (993,), (5000,)], "id bigint")
+    assert rows(G.users(spark, ids=ids.filter("id < 10"))) == [r for r in rows(G.users(spark, 10)) if r[0] in ("U003", "U007")]
+    whole = {r[0]: r for r in rows(G.orders_dirty(spark))}
+    assert rows(G.orders_dirty(spark, ids=ids)) == sorted([whole[k] for k in ("ORD00003", "ORD00003", "ORD00007", "ORD00985", "ORD00993")], key=repr)
+    assert len(rows(G.orders_clean(spark, ids=ids))) == 5
+
+
+def test_sequences_of_rows(spark):
+    df = spark.createDataFrame([(1, 3), (5, 5), (7, 4), (None, 2)], "a bigint, b bigint")
+    assert [r[2] for r in rows(sequences(df, F.col("a"), F.col("b"), "n"))] == [1, 2]
+
+
+def test_dropped_databases_are_gone(spark):
+    bronze.create_database(spark, "millrace_gone")
+    bronze.publish(spark, spark.range(3), "millrace_gone.t")
+    bronze.drop_database(spark, "millrace_gone")
+    bronze.drop_database(spark, "millrace_gone")
+    assert not spark.catalog.databaseExists("millrace_gone")
+
+
+@pytest.mark.parametrize("missing", [("millrace/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",), ()])
+def test_entry_imports_without_the_text_operators(tmp_path, missing):
+    """A copy of the repository without them, in a process of its own."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("millrace", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    for name in missing:
+        if (path := tmp_path / name).is_dir():
+            shutil.rmtree(path)
+        else:
+            path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(*q)"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True).stdout.split()
+    assert "quality_summary" in found and len([q for q in found if not q.startswith("op") and q != "pipeline"]) == 29
+    if missing:
+        assert not any(q == "pipeline" or q.startswith("op") for q in found)
