@@ -40,11 +40,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables of one operator call in the shared folder, which can be dropped when nothing reads them any more.
+
+    Writing a table cuts its lineage, in a way that survives lost executors.
+    What a returned DataFrame still reads must stay, as it may be evaluated at
+    any time and again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables, self.made = spark, f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}", [], 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read back."""
+        path = f"{self.path}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.tables if not any(t is k for k in kept)))
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: a cut of the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back."""
+    return Scratch(df.sparkSession).stored(df)
 
 
 def sized(df: DataFrame, most: int = 400_000) -> DataFrame:

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import Scratch, sized
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", work: Scratch | None = None) -> DataFrame:
     """(node, label): every end of a link with the smallest node that links lead to.
 
     A node whose label changed tells its neighbours, and labels are replaced by
     their own label, so paths shorten by half in each round. Each round is
-    written out. Labels are aggregated before they are shuffled, so a node with
+    written out in ``work``, in place of the one before. Labels are aggregated before they are shuffled, so a node with
     very many links is no burden to one task.
     """
     way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-    both = stored(links.select(F.inline(F.array(way(a, b), way(b, a)))))
+    work = work or Scratch(links.sparkSession)
+    both = work.stored(links.select(F.inline(F.array(way(a, b), way(b, a)))))
     kind = both.schema["u"].dataType
-    state = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"), F.first("u").alias("old")))
+    state = work.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"), F.first("u").alias("old")))
     while True:
         changed = state.filter("label <> old").select(F.col("node").alias("of"), F.col("label").alias("far"))
         if changed.limit(1).count() == 0:
+            work.drop(both)
             return state.select("node", "label")
         near = sized(changed)
         told = both.join(near, both["u"] == changed["of"]).filter("far < v").select(F.col("v").alias("node"), F.col("far").alias("label"))
         moved = state.select("node", "label").join(near, F.col("label") == changed["of"]).select("node", F.col("far").alias("label"))
         news = told.unionByName(moved).withColumn("old", F.lit(None).cast(kind))
         kept = state.select("node", "label", F.col("label").alias("old"))
-        state = stored(news.unionByName(kept).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))
+        old, state = state, work.stored(news.unionByName(kept).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))
+        work.drop(old)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, per_batch, rows_of, sized, stored, words_of
+from .common import Scratch, give_back, per_batch, rows_of, sized, words_of
 from .graph import components
 
 #: Shingles that one group of a cluster holds; documents that stand for a cluster in each of its groups.
@@ -270,9 +270,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     never the smallest, and takes part otherwise. Sets are told apart by 64-bit
     hashes. Other columns are ignored; an empty table gives no row.
     """
-    rule = Rule(words, num, den)
-    slim = docs.select("doc_id", "text")
-    kind = slim.schema["doc_id"]
+    return _labelled(docs, Rule(words, num, den), group_shingles, Scratch(docs.sparkSession)).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, label, component_id): ``label`` names the component, as one doc_id can be in two.
+
+    Of what it writes in ``work``, only what this reads is left.
+    """
+    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind, words = slim.schema["doc_id"], rule.words
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
@@ -280,12 +287,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         order = np.lexsort([step, row])
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
         return pa.record_batch(
-            [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
-            names=["doc_id", "n_shingles", "sid", "n_own", "keys"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
+            names=["doc_id", "text_hash", "n_shingles", "sid", "n_own", "keys"],
         )
 
-    base = stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
-    full = base.filter("n_shingles > 0")
+    keyed = work.stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
+    full = keyed.filter("n_shingles > 0")
     # one row of keys for each distinct set; in its next size class a set goes by the odd number after its own
     distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n_own").alias("n_own"))
     dealt = distinct.select("sid", "n_own", F.posexplode("keys").alias("i", "key"))
@@ -293,13 +300,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     # a set's first sets, of which it has no more than keys, are linked to the smallest of them
     stars = dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("s"))
     near = stars.select(F.col("s")[0].alias("a"), F.explode(F.array_append(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("b"))).alias("b")).distinct()
-    firsts = stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n")))
-    clusters = components(near)
+    # a row of each set to read it from again: of the smallest doc_id, or without one
+    first_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
+    firsts = work.stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), first_hash, F.first("n_shingles").alias("n")))
+    clusters = components(near, work=work)
+    base = work.stored(keyed.select("doc_id", "text_hash", "n_shingles", "sid"))
+    work.drop(keyed)
     clusters = clusters.select(F.col("node").bitwiseAND(F.lit(-2)).alias("of"), F.col("label").alias("cluster"))
-    members = stored(firsts.join(sized(clusters), clusters["of"] == firsts["sid"]).select("sid", "first_id", "n", "cluster"))
+    members = work.stored(firsts.join(sized(clusters), clusters["of"] == firsts["sid"]).select("sid", "first_id", "first_hash", "n", "cluster"))
     large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"), F.ceil(F.col("total") / group_shingles).cast("int").alias("blocks"))
-    large = stored(large)
-    placed = stored(members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), "blocks")).cast("int").alias("block")))
+    large = work.stored(large)
+    placed = work.stored(members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "first_hash", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), "blocks")).cast("int").alias("block")))
 
     def texts_to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
@@ -308,26 +319,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         out = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cluster", "block", "blocks")), out], names=["sid", "cluster", "block", "blocks", "shingles"]).filter(pa.array(right))
 
-    wanted = placed.select(F.col("first_id").alias("__id"), "sid", "cluster", "block", "blocks")
-    texts = slim.join(sized(wanted), slim["doc_id"] == wanted["__id"]).select("text", "sid", "cluster", "block", "blocks")
+    wanted = placed.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash"), "sid", "cluster", "block", "blocks")
+    fields = ["text", "sid", "cluster", "block", "blocks"]
+    texts = slim.join(sized(wanted.filter("__id IS NOT NULL")), (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(*fields)
+    nameless = wanted.filter("__id IS NULL")
+    if nameless.limit(1).count():  # such rows repeat under no name of their own
+        texts = texts.unionByName(slim.filter("doc_id IS NULL").dropDuplicates(["text_hash"]).join(sized(nameless), F.col("text_hash") == F.col("__hash")).select(*fields))
     loaded = texts.mapInArrow(per_batch(texts_to_sets), "sid bigint, cluster bigint, block int, blocks int, shingles binary")
     split = large.limit(1).count() > 0
     if split:
-        loaded = stored(loaded)
+        loaded = work.stored(loaded)
     link_kind = "a bigint, b bigint"
     groups = loaded.select("cluster", "block", "sid", F.col("sid").alias("known"), "shingles")
     if split:  # a few sets of a split cluster go to all of its blocks
         pivots = _pivots(loaded)
         groups = groups.unionByName(pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.col("sid").alias("known"), "shingles"))
-    links = stored(groups.groupBy("cluster", "block").applyInPandas(lambda rows: _linked(rule, rows), link_kind))
+    links = work.stored(groups.groupBy("cluster", "block").applyInPandas(lambda rows: _linked(rule, rows), link_kind))
     if split:
-        links = links.unionByName(_across(loaded, links, rule, group_shingles, link_kind))
-    found = components(links)
-    labelled = stored(firsts.join(sized(found), firsts["sid"] == found["node"]).select("sid", "first_id", "label"))
+        links = links.unionByName(_across(loaded, links, rule, group_shingles, link_kind, work))
+    found = components(links, work=work)
+    labelled = work.stored(firsts.join(sized(found), firsts["sid"] == found["node"]).select("sid", "first_id", "label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.select("sid", F.col("label").alias("l")).join(least, F.col("l") == F.col("label")).select(F.col("sid").alias("s1"), "component_id")
-    resolved = stored(firsts.join(ids, firsts["sid"] == ids["s1"], "left").select(F.col("sid").alias("s2"), F.coalesce("component_id", "first_id").alias("component_id")))
-    return base.join(resolved, (base["sid"] == resolved["s2"]) & (base["n_shingles"] > 0), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = labelled.select("sid", F.col("label").alias("l")).join(least, F.col("l") == F.col("label")).select(F.col("sid").alias("s1"), "label", "component_id")
+    resolved = work.stored(firsts.join(ids, firsts["sid"] == ids["s1"], "left").select(F.col("sid").alias("s2"), F.coalesce("label", "sid").alias("label"), F.coalesce("component_id", "first_id").alias("component_id")))
+    work.drop_all_but(base, resolved)
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return base.join(resolved, (base["sid"] == resolved["s2"]) & (base["n_shingles"] > 0), "left").select("doc_id", "text_hash", "n_shingles", "label", own)
 
 
 def _pivots(loaded: DataFrame) -> DataFrame:
@@ -337,33 +354,47 @@ def _pivots(loaded: DataFrame) -> DataFrame:
     return some.join(chosen, F.col("sid") == F.col("chosen"), "left_semi")
 
 
-def _across(loaded: DataFrame, links: DataFrame, rule: Rule, group_shingles: int, kind: str) -> DataFrame:
+def _across(loaded: DataFrame, links: DataFrame, rule: Rule, group_shingles: int, kind: str, work: Scratch) -> DataFrame:
     """Links between blocks of a cluster that are not connected yet.
 
     What lies outside a cluster's largest component so far, in chunks, meets
     every block of the cluster; pairs within one component are not compared.
     """
     some = loaded.filter("blocks > 1")
-    labels = components(links)
+    labels = components(links, work=work)
     known = some.join(labels, some["sid"] == labels["node"], "left").select("cluster", "block", "blocks", "sid", "shingles", F.coalesce("label", "sid").alias("known"))
-    known = stored(known)
+    known = work.stored(known)
     counts = known.groupBy("cluster", "known").agg(F.count("*").alias("n"))
     largest = counts.groupBy(F.col("cluster").alias("c")).agg(F.max_by("known", F.struct("n", "known")).alias("main"))
     outside = known.join(largest, (known["cluster"] == largest["c"]) & (known["known"] == largest["main"]), "left_anti")
     sizes = outside.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.sum(F.length("shingles")) / 8 / group_shingles).cast("int").alias("chunks"))
-    sizes = stored(sizes)
+    sizes = work.stored(sizes)
     fields = ["cluster", "block", "chunk", "sid", "known", "shingles"]
     dealt = outside.join(sizes, outside["cluster"] == sizes["c"]).withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*fields)
     spread = known.join(sizes, known["cluster"] == sizes["c"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*fields)
-    return stored(dealt.unionByName(spread).groupBy("cluster", "block", "chunk").applyInPandas(lambda rows: _linked(rule, rows), kind))
+    return work.stored(dealt.unionByName(spread).groupBy("cluster", "block", "chunk").applyInPandas(lambda rows: _linked(rule, rows), kind))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
 
-    Documents without words, and rows with a null doc_id, stay.
+    Rows are told apart by doc_id and text: of different texts that share the
+    smallest doc_id of a component one stays, of rows that repeat both one, and
+    a text goes only if it is in the component itself. Documents without words,
+    and rows with a null doc_id, stay.
     """
-    found = jaccard_components(docs, **options)
-    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(sized(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    work = Scratch(docs.sparkSession)
+    found = work.stored(_labelled(docs, Rule(words, num, den), group_shingles, work).filter("n_shingles > 0 AND doc_id IS NOT NULL"))
+    stays = found.filter("doc_id = component_id").groupBy(F.col("label").alias("l")).agg(F.min("text_hash").alias("keep"))
+    gone = found.join(stays, found["label"] == stays["l"]).filter("doc_id <> component_id OR text_hash <> keep")
+    gone = work.stored(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = work.stored(repeated.join(gone, ["__id", "__hash"], "left_anti").select("__id", "__hash"))
+    work.drop_all_but(gone, repeated)
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    single = docs.join(sized(gone), same, "left_anti")
+    if not repeated.limit(1).count():
+        return single
+    once = docs.join(sized(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.join(sized(repeated), same, "left_anti").unionByName(once)

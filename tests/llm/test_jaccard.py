@@ -126,3 +126,22 @@ def test_query_equals_brute_force_over_many_slices(spark):
                 label[y] = x
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op9_jaccard_join"](spark, d).collect()}
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_null_ids_link_and_bridge(spark):
+    """Sets that only rows without an id have link with others, and others through them."""
+    word = [f"w{i}" for i in range(60)]
+    one, bridge, far = word[:50], word[:52], word[:54]
+    rows = [(9, " ".join(one)), (None, " ".join(bridge)), (None, " ".join(bridge)), (7, " ".join(far)), (None, "quite another text"), (None, "quite another text here"), (None, None)]
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(2), 3, 95, 100).collect()), key=repr)
+    assert got == sorted([(9, 48, 7), (None, 50, 7), (None, 50, 7), (7, 52, 7), (None, 1, None), (None, 2, None), (None, 0, None)], key=repr)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen fifteen"
+    rows = [(1, a, 0), (1, a, 1), (1, b, 2), (2, b, 3), (2, a.upper(), 4), (3, c, 5), (4, c, 6), (4, "another text of its own", 7), (None, a, 8), (5, "", 9), (6, None, 10), (6, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(3)
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (3, c), (4, "another text of its own"), (None, a), (5, ""), (6, None), (6, None)], key=repr)
