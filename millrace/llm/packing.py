@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,9 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import give_back, per_batch, rows_of
 
-#: Bytes of text that a group holds on average; a document's full sequences are dealt to many groups.
-GROUP_BYTES = 16 << 20
+#: Bytes of text and rows that a group holds on average; a document's full sequences are dealt to many groups.
+GROUP_BYTES, GROUP_ROWS = 2 << 20, 1 << 13
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class FirstFit:
@@ -99,18 +101,20 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
     there; a row that repeats is packed each time. Columns other than doc_id
     and text are ignored. An empty table gives no piece.
 
-    A task cuts each document into full sequences and a rest. Full sequences go
-    to groups of their own hash, so a group's size does not follow the longest
-    document's.
+    A task cuts each document into full sequences and a rest. A piece's group
+    follows from its row, its start, its partition and how many rows like it
+    came before there, so a group's size follows neither the longest document
+    nor the most repeated row, and a task that runs again deals alike.
     """
     slim = docs.select("doc_id", "text")
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
+    total, rows = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    groups = max(1, -(-(total or 0) // group_bytes), -(-rows // GROUP_ROWS))
+    slim = slim.withColumn("row_hash", F.xxhash64("doc_id", "text"))
     kind = slim.schema["doc_id"]
     cut_kind = T.StructType([T.StructField("grp", T.IntegerType()), kind, T.StructField("start", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     out_kind = T.StructType([kind, T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, seen: dict[int, int], partition: int) -> pa.RecordBatch:
         bounds, ids = bpe.ids_of(path, batch.column("text"))
         n = np.diff(bounds) + 1
         width = "<u2" if end_id < 1 << 16 and (not len(ids) or int(ids.max()) < 1 << 16) else "<u4"
@@ -125,10 +129,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         raw, size = all_ids.tobytes(), all_ids.itemsize
         base = (ends - n)[row] + start
         length = np.minimum(capacity, n[row] - start)
-        keys = [zlib.crc32(f"{d}:{s}".encode()) % groups for d, s in zip(batch.column("doc_id").take(pa.array(row)).to_pylist(), start.tolist(), strict=True)]
+        like = batch.column("row_hash").to_pylist()
+        times = np.empty(len(like), np.uint64)
+        for i, h in enumerate(like):
+            times[i] = seen[h] = seen.get(h, -1) + 1
+        key = batch.column("row_hash").to_numpy().view(np.uint64)[row] + start.astype(np.uint64) * _MIX
+        key = (key ^ (key >> np.uint64(31))) * _MIX + ((np.uint64(partition) << np.uint64(32)) + times[row]) * np.uint64(0x9E3779B97F4A7C15)
+        keys = ((key ^ (key >> np.uint64(29))) * _MIX >> np.uint64(33)) % np.uint64(groups)
         blobs = [raw[a * size : (a + k) * size] if size == 4 else b"\x02" + raw[a * size : (a + k) * size] for a, k in zip(base.tolist(), length.tolist(), strict=True)]
         return pa.record_batch(
-            [pa.array(keys, pa.int32()), batch.column("doc_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(n[row], pa.int64()), pa.array(blobs, pa.binary())],
+            [pa.array(keys.astype(np.int32)), batch.column("doc_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(n[row], pa.int64()), pa.array(blobs, pa.binary())],
             names=[f.name for f in cut_kind],
         )
 
@@ -156,4 +166,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
             names=[f.name for f in out_kind],
         )
 
-    return slim.mapInArrow(per_batch(cut), cut_kind).groupBy("grp").applyInArrow(fit, out_kind)
+    def cut_all(batches):
+        seen: dict[int, int] = {}
+        yield from per_batch(partial(cut, seen=seen, partition=TaskContext.get().partitionId()))(batches)
+
+    return slim.mapInArrow(cut_all, cut_kind).groupBy("grp").applyInArrow(fit, out_kind)

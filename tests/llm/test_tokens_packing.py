@@ -110,3 +110,11 @@ def test_packing_rows(spark):
     assert pack(df.limit(0), WORD_BPE).count() == 0
     twice = pack(df.filter("doc_id = 3").unionByName(df.filter("doc_id = 3")), WORD_BPE).collect()
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
+
+
+def test_rows_that_repeat_are_dealt_to_many_groups(spark):
+    from millrace.llm import packing
+
+    df = spark.range(0, 40_000, 1, 2).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("").alias("text"))
+    got = pack(df, WORD_BPE).groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in got) == 40_000 and len(got) == -(-40_000 // packing.GROUP_ROWS) and max(r.n for r in got) < 2 * packing.GROUP_ROWS
