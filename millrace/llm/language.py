@@ -183,7 +183,7 @@ def languages(docs: DataFrame, split: int = 5, held: int = 0, per_language: int
 
     Models are fitted on at most ``per_language`` documents of each language,
     none longer than ``longest`` characters, taken by hash order outside the
-    held-out part. The language of the lowest cross-entropy for each character
+    held-out part; only those of low hashes for their language are ranked. The language of the lowest cross-entropy for each character
     is predicted, with its share of the languages' softmax as the score; ties
     go to the name that sorts first. ``rejected`` marks texts that their own
     language explains worse than nearly all of its sample. A text without
@@ -193,8 +193,12 @@ def languages(docs: DataFrame, split: int = 5, held: int = 0, per_language: int
     """
     slim = docs.select("doc_id", "text")
     usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("n").between(1, longest) & (remainder("doc_id", split) != held))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("k", rank).filter(F.col("k") <= per_language).select("doc_id", "lang", "k").dropDuplicates(["doc_id"])
+    usable = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("draw"))
+    # of a common language only the lowest draws, a few more than are wanted, are shuffled and ranked
+    totals = usable.groupBy("lang").agg(F.count("*").alias("total"))
+    drawn = usable.join(F.broadcast(totals), "lang").filter(F.col("draw") * F.col("total").cast("double") <= F.lit(2.0**31 * (per_language + per_language // 4 + 50))).select("doc_id", "lang", "draw").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = drawn.withColumn("k", rank).filter(F.col("k") <= per_language).select("doc_id", "lang", "k").dropDuplicates(["doc_id"])
     sample = slim.filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("lang", "text", "k")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
