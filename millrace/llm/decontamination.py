@@ -157,6 +157,10 @@ def contaminated(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay, and rows with a null doc_id too."""
-    hits = stored(contaminated(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(sized(hits), docs["doc_id"] == hits["__hit"], "left_anti")
+    """``docs`` without those that hold a benchmark item; all columns stay, and rows with a null doc_id too.
+
+    A row goes if its own text holds an item, whatever other rows of its doc_id hold.
+    """
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    hits = stored(contaminated(rows, items, **options).select(F.col("doc_id.doc_id").alias("__hit"), F.col("doc_id.text_hash").alias("__hash")).distinct())
+    return docs.join(sized(hits), (F.col("doc_id") == F.col("__hit")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")

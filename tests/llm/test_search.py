@@ -101,3 +101,10 @@ def test_decontamination_by_brute_force(spark):
     kept = D.drop_contaminated(di, it)
     assert kept.columns == di.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d or -1 for d, _ in docs if d not in hit)
     assert D.contaminated(di.limit(0), it).count() == 0 and D.contaminated(di, it.limit(0)).count() == 0
+
+
+def test_only_rows_that_hold_an_item_go(spark):
+    item = "a passage of the benchmark that nobody should have seen before"
+    docs = spark.createDataFrame([(1, f"well {item} indeed"), (1, "a clean text of the same id"), (2, "clean too"), (None, item)], "doc_id bigint, text string")
+    kept = D.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a clean text of the same id"), (2, "clean too"), (None, item)], key=repr)
