@@ -182,7 +182,10 @@ def fitted(docs: DataFrame, labels: DataFrame, split: int, held: int, per_class:
     rows = training_rows(docs, labels, "toxic", split, held, per_class, longest).toArrow().combine_chunks().sort_by("doc_id")
     toxic, clean = labels.filter(remainder("doc_id", split) != held).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return train(texts, rows.column("label").to_numpy().astype(np.int64), toxic / max(1, toxic + clean))
+    model = train(texts, rows.column("label").to_numpy().astype(np.int64), toxic / max(1, toxic + clean))
+    del rows, texts
+    give_back()
+    return model
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:

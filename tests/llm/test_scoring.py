@@ -232,3 +232,11 @@ def test_language_model_counts_by_brute_force_over_many_slices(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(w in counts for w in words) + 1, n)
         assert abs(r.base_score - sum(base.get(w, unknown) for w in [*words, None])) < 1e-6 * len(words) + 1e-6
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def test_only_low_draws_of_a_language_are_ranked(spark):
+    """The sample is the lowest draws of all usable rows, whatever the language's size."""
+    d = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "the cat sat on the mat").otherwise("der hund und die katze").alias("text"), F.when(F.col("id") % 10 == 0, "en").otherwise("de").alias("lang"))
+    d = d.unionByName(d.filter("doc_id = 7"))
+    got = language.languages(d, per_language=60).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 400, "de": 3601}
