@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 
 
+#: Whether a query's shuffle files go when it ends, instead of when the driver collects its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +59,12 @@ class Scratch:
         """``df``, written and read back."""
         path = f"{self.path}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # the write's own, which nothing reads after it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before) if before else self.spark.conf.unset(FREE_SHUFFLES)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((table, path))
         return table
