@@ -111,8 +111,37 @@ def _counts(path: str, units: list[str]) -> list[int]:
     return out.tolist()
 
 
+@cache
+def space_starts(path: str) -> np.ndarray:
+    """Which ids begin with a space, in a vocabulary of bytes."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+    return out
+
+
+def _byte_ids(path: str, units: list[str]) -> list[bytes]:
+    """Units of one space and then no other have one id that begins with a space, their first, so they are encoded in one run."""
+    out: list[bytes] = [b""] * len(units)
+    run, alone = [], []
+    for i, u in enumerate(units):
+        (run if u[:1] == " " and len(u) > 1 and " " not in u[1:] and not u[-1].isspace() else alone).append(i)
+    if run:
+        ids = np.array(encode(path, ["".join([units[i] for i in run])])[0].ids, "<u4")
+        starts = np.flatnonzero(space_starts(path)[ids])
+        if len(starts) == len(run):
+            _fill(out, run, ids, np.append(starts[1:], len(ids)))
+        else:
+            alone += run
+    if alone:
+        for i, e in zip(alone, encode(path, [units[i] for i in alone]), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 _IDS: dict[str, Memory] = {}
 _COUNTS: dict[str, Memory] = {}
+_BYTE_IDS: dict[str, Memory] = {}
 
 
 def ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +198,46 @@ def counts_of(path: str, texts: pa.Array) -> np.ndarray:
     return total
 
 
+def byte_ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, ids as uint32) of each text for a vocabulary that keeps white space. Null is an empty text.
+
+    Texts are cut into units as in ``counts_of``.
+    """
+    memory = _BYTE_IDS.setdefault(path, Memory(partial(_byte_ids, path)))
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    lists = pc.split_pattern(texts, " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    coded = lists.flatten().dictionary_encode()
+    codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    odd = np.fromiter((not p or p[-1].isspace() for p in pieces), bool, len(pieces))[codes] if pieces else np.zeros(0, bool)
+    plain = (sums_by_row(odd.astype(np.int64), bounds) == 0) & (np.diff(bounds) > 0)
+    openings, first = codes[bounds[:-1][plain]], bounds[:-1][plain]
+    parts = memory.of([" " + p for p in pieces]) + memory.of([pieces[c] for c in openings])
+    codes[first] = len(pieces) + np.arange(len(first))
+    other = np.flatnonzero(~plain)
+    if len(other):  # their units take the place of their pieces
+        runs = []
+        for text in texts.take(pa.array(other)).to_pylist():
+            # \x1c-\x1f are white space to Python alone
+            known = [np.array(e.ids, "<u4").tobytes() for e in encode(path, [text])] if re.search("[\x1c-\x1f]", text) else memory.of(_UNIT.findall(text))
+            runs.append(np.arange(len(parts), len(parts) + len(known)))
+            parts += known
+        size = np.diff(bounds)
+        size[other] = [len(r) for r in runs]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        whole, kept = np.empty(ends[-1], np.int64), np.repeat(plain, size)
+        whole[kept] = codes[np.repeat(plain, np.diff(bounds))]
+        whole[~kept] = np.concatenate(runs)
+        codes, bounds = whole, ends
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    start = np.cumsum(size) - size
+    n = size[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[codes] - ends[:-1], n) + np.arange(ends[-1])]
+    return ends[bounds], ids
+
+
 def spliced_count(path: str, text: str, chunk: int = 32_768, overlap: int = 512) -> int:
     """Tokens of a huge text from overlapping chunks.
 

@@ -44,6 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder, which can be dropped when nothing reads them any more.
 
@@ -72,8 +77,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for table, path in self.tables:
             if any(table is t for t in tables):
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+                drop_folder(self.spark, path)
         self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
 
     def drop_all_but(self, *kept: DataFrame) -> None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from .common import table
+from .clusters import clusters
+from .codes import vector_codes
+from .common import Scratch, drop_folder, shared_dir, table
 from .decontamination import contaminated
 from .jaccard import jaccard_components
 from .language import languages
@@ -16,6 +20,7 @@ from .quality import quality
 from .token_counts import token_counts
 from .topk import top_k
 from .toxicity import toxicity
+from . import wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,8 +67,74 @@ def op10_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_lm_scores, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op8_line_dedup, op9_jaccard_join, op10_packing)}
+def op11_token_ids(spark, d):
+    folder = wavelet.write_ids(table(spark, d, "documents"), BYTE_BPE, f"{shared_dir(spark)}/millrace-ids-{uuid.uuid4().hex}")
+    found = Scratch(spark).stored(wavelet.documents(spark, folder))
+    drop_folder(spark, folder)
+    return wavelet.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_vector_codes(spark, d):
+    return vector_codes(table(spark, d, "embeddings"))
+
+
+def op13_clusters(spark, d):
+    return clusters(table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_lm_scores, op4_token_counts, op5_top_k, op6_decontamination, op7_language, op8_line_dedup, op9_jaccard_join, op10_packing, op11_token_ids, op12_vector_codes, op13_clusters)}
+
+
+def _integers_sql(scale: int) -> str:
+    """(vec_id, label, v): integer vectors of the rows that take part."""
+    return f"""SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0"""
+
+
+def _square_sql(a: str, b: str) -> str:
+    return f"CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+#: The floor of the mean of x, exactly.
+_MEAN_SQL = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _codes_sql() -> str:
+    """Codebooks by round: r0 the first ones, aN the nearest entries, rN what they become."""
+    steps = [
+        f"v AS MATERIALIZED ({_integers_sql(256)})",
+        "s AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS s FROM v, range(16) t(p))",
+        "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < 64)",
+        "r0 AS MATERIALIZED (SELECT p, e, s AS c FROM s JOIN f ON s.vec_id = f.vec_id)",
+    ]
+    for n in range(3):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT vec_id, label, s.p, any_value(s) AS s, min({{'d': {_square_sql('s', 'c')}, 'e': e}}) AS m FROM s JOIN r{n} r ON s.p = r.p GROUP BY vec_id, label, s.p)")
+        if n < 2:
+            steps.append(f"u{n} AS (SELECT p, e, list(x ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, {_MEAN_SQL} AS x FROM (SELECT p, m, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM a{n}) GROUP BY p, m.e, i) GROUP BY p, e)")
+            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT r.p, r.e, coalesce(u.c, r.c) AS c FROM r{n} r LEFT JOIN u{n} u ON u.p = r.p AND u.e = r.e)")
+    steps.append("b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM r2)")
+    steps.append("k AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM k, b"
+
+
+def _clusters_sql() -> str:
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, v FROM ({_integers_sql(1024)}) WHERE len(v) = 64)",
+        "r0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m FROM v QUALIFY c < 8)",
+    ]
+    for n in range(11):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({{'d': {_square_sql('v', 'm')}, 'c': c}}) AS b FROM v, r{n} GROUP BY vec_id)")
+        if n < 10:
+            steps.append(f"u{n} AS (SELECT c, list(x ORDER BY i) AS m FROM (SELECT b.c AS c, i, {_MEAN_SQL} AS x FROM (SELECT b, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY b.c, i) GROUP BY c)")
+            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT r.c, coalesce(u.m, r.m) AS m FROM r{n} r LEFT JOIN u{n} u ON u.c = r.c)")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a10 JOIN r10 ON r10.c = b.c"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_clusters": _clusters_sql(),
     "op5_top_k": """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
