@@ -6,14 +6,16 @@ some by a rule that SQL can repeat.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import draws as D
 from .operators import defects, quality
+from .operators.numbering import dense_numbers
 from .plans import bronze
 from .sources import generate as G
 from .sources.tables import catalog_table, read, sequences, view_head
@@ -137,8 +139,13 @@ def gen_orders_clean(sp, d):
 
 
 def gen_orders_dirty(sp, d):
-    ids = _order_ids(sp, d)
-    return G.orders_dirty(sp, G.OrderShape.scaled(ids.count(), 100, len(G.CATALOG)), ids=ids)
+    return G.orders_dirty_of(read(sp, d, "orders"), "o_orderkey", 100, len(G.CATALOG))
+
+
+def row_numbers(sp, d):
+    """Orders by falling price, numbered without gaps."""
+    orders = read(sp, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return dense_numbers(orders, [F.desc("o_totalprice"), F.col("o_orderkey")], "rank").rows
 
 
 def fn_keys(sp, d):
@@ -169,18 +176,26 @@ def preview_top5(sp, d):
     return bronze.preview(read(sp, d, "part"), 5, ["p_partkey"])
 
 
-#: The database of each query's last call.
-_DATABASES: dict[str, str] = {}
+#: The databases of this session's calls.
+_DATABASES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_databases() -> None:
+    """Drop the databases of all calls so far; what their queries returned can't be read any more."""
+    while _DATABASES:
+        sp, name = _DATABASES.pop()
+        if sp.sparkContext._jsc is not None:  # else the session has ended before
+            bronze.drop_database(sp, name)
 
 
 def _database(sp: SparkSession, query: str) -> str:
     """A database of its own for each call, in the warehouse that all executors share.
 
-    What a query returns reads its tables, so they stay until it is called again.
+    What a query returns reads its tables, at any time and again, so they stay until the session ends.
     """
-    if query in _DATABASES:
-        bronze.drop_database(sp, _DATABASES[query])
-    name = _DATABASES[query] = f"millrace_{uuid.uuid4().hex[:12]}"
+    name = f"millrace_{query}_{uuid.uuid4().hex[:12]}"
+    _DATABASES.append((sp, name))
     bronze.create_database(sp, name)
     bronze.create_database(sp, name)  # a repeat changes nothing
     return name
@@ -237,8 +252,71 @@ def bronze_counts(sp, d):
     return _short(bronze.table_counts(sp, _three(sp, d, "bronze_counts")))
 
 
+def _written(sp, d, query: str) -> DataFrame:
+    db = _database(sp, query)
+    return bronze.load_tables(sp, {f"{db}.bronze_{t}": read(sp, d, t) for t in ("orders", "part", "customer")})
+
+
 def load_summary(sp, d):
-    return _short(bronze.load_summary(bronze.table_counts(sp, _three(sp, d, "load_summary"))))
+    """What the writes counted; the tables are not read again."""
+    return _short(bronze.load_summary(_written(sp, d, "load_summary")))
+
+
+def load_check(sp, d):
+    """What the writes counted beside what is read back."""
+    return _short(bronze.check_loads(sp, _written(sp, d, "load_check")))
+
+
+def bronze_self_overwrite(sp, d):
+    """A table replaced by rows read from itself."""
+    db = _database(sp, "bronze_self_overwrite")
+    table = bronze.publish(sp, _orders(sp, d), f"{db}.bronze_orders")
+    large = table.filter(F.col("amount") > 100000).withColumn("amount", F.col("amount") - 100000)
+    return bronze.publish(sp, large, f"{db}.bronze_orders")
+
+
+def _fails(df: DataFrame) -> DataFrame:
+    """``df``, whose last orders can't be worked out."""
+    broken = F.raise_error(F.lit("planted failure")).cast("double")
+    return df.withColumn("amount", F.when(F.col("o_orderkey") % MISSING_EVERY == 7, broken).otherwise(F.col("amount")))
+
+
+def _after_a_failure(sp, d, query: str) -> str:
+    """A table with a load, one that fails midway, and one more."""
+    db = _database(sp, query)
+    name, log = f"{db}.bronze_orders", f"{db}.load_log"
+    bronze.publish(sp, _orders(sp, d), name, log=log)
+    try:
+        bronze.publish(sp, _fails(_orders(sp, d)), name, log=log)
+    except Exception as failure:
+        if "planted failure" not in str(failure):
+            raise
+    return name
+
+
+def bronze_failed_load(sp, d):
+    """A load that fails midway leaves the table as it was."""
+    return catalog_table(sp, _after_a_failure(sp, d, "bronze_failed_load"))
+
+
+def load_audit(sp, d):
+    """All loads of a table with their outcome and the rows that they wrote; a failed one has no version."""
+    name = _after_a_failure(sp, d, "load_audit")
+    log = name.replace("bronze_orders", "load_log")
+    bronze.publish(sp, _orders(sp, d).filter("amount > 100000"), name, log=log)
+    numbers = bronze.history(sp, name, log=log).select("load_id", "version")
+    order = Window.orderBy("timestamp", "load_id")
+    every = bronze.loads(sp, name, log).withColumn("load", F.row_number().over(order))
+    return every.join(numbers, "load_id", "left").select("load", "status", "version", "n_rows")
+
+
+def bronze_as_of(sp, d):
+    """The version of a table before its last load."""
+    db = _database(sp, "bronze_as_of")
+    name, log = f"{db}.bronze_orders", f"{db}.load_log"
+    bronze.publish(sp, _orders(sp, d), name, log=log)
+    bronze.publish(sp, _orders(sp, d).filter("amount > 100000"), name, log=log)
+    return bronze.as_of(sp, name, 0, log)
 
 
 def load_history(sp, d):
@@ -300,13 +378,24 @@ UNION ALL SELECT 'orphan', 'o_custkey', count(*) FROM t WHERE o_custkey NOT IN (
     "gen_products": "SELECT p_partkey, product_id, product_name, category FROM part JOIN (VALUES " + ", ".join(str(x) for x in G.CATALOG) + ") c(product_id, product_name, category) ON product_id = printf('P%03d', 1 + p_partkey % 20)",
     "gen_users": f"SELECT printf('U%03d', id) AS user_id, {_list(G.LAST_NAMES)}[1 + {draw_sql('last', 'id')} % 20] || {_list(G.FIRST_NAMES)}[1 + {draw_sql('first', 'id')} % 20] AS user_name, {_list(G.REGIONS)}[1 + {draw_sql('region', 'id')} % 8] AS region FROM (SELECT c_custkey AS id FROM customer)",
     "gen_orders_clean": f"SELECT {_order_sql('id', '4611686018427387904', '0')} FROM (SELECT o_orderkey AS id FROM orders)",
-    "gen_orders_dirty": f"WITH b AS (SELECT o_orderkey AS id, {_K} AS k FROM orders WHERE o_orderkey BETWEEN 1 AND 995 * {_K}), o AS (SELECT id, k, {_order_sql('id', '980 * k', '10 * k')} FROM b) SELECT order_id, user_id, product_id, amount, order_date FROM o UNION ALL SELECT order_id, user_id, product_id, amount, order_date FROM o WHERE id <= 5 * k",
+    "gen_orders_dirty": f"""WITH n AS (SELECT count(*) AS n, CASE WHEN count(*) >= 995 THEN count(*) // 995 WHEN count(*) > 15 THEN 1 ELSE 0 END AS k FROM orders),
+b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, k, n - 15 * k AS clean FROM orders, n),
+o AS (SELECT id, k, clean, {_order_sql('id', 'clean', '10 * k')} FROM b)
+SELECT order_id, user_id, product_id, amount, order_date FROM o UNION ALL SELECT order_id, user_id, product_id, amount, order_date FROM o WHERE id <= least(5 * k, clean)""",
+    "row_numbers": "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
     "fn_keys": "SELECT c_custkey, printf('U%03d', c_custkey) AS short_key, printf('ORD%05d', c_custkey * 97) AS long_key, '#' || CAST(c_custkey AS VARCHAR) AS plain_key FROM customer",
     "fn_draws": f"SELECT o_orderkey, 1 + {draw_sql('a', 'o_orderkey')} % 20 AS an_int, round_even(500e0 + 49500e0 * {draw_sql('b', 'o_orderkey')} / 4294967296e0, 0) AS an_amount, DATE '{G.FIRST_DAY}' + ({draw_sql('c', 'o_orderkey')} % 366)::INT AS a_day, {_list(G.REGIONS)}[1 + {draw_sql('d', 'o_orderkey')} % 8] AS a_region, date_diff('day', DATE '{G.FIRST_DAY}', CAST(o_orderdate AS DATE))::INT AS days_after FROM orders",
     "view_sql_limit": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 10",
     "preview_top5": "SELECT * FROM part ORDER BY p_partkey LIMIT 5",
     "bronze_roundtrip": ORDERS_SQL,
     "bronze_rerun": ORDERS_SQL,
+    "bronze_self_overwrite": f"SELECT o_orderkey, o_custkey, o_orderstatus, amount - 100000 AS amount, order_date FROM ({ORDERS_SQL}) WHERE amount > 100000",
+    "bronze_failed_load": ORDERS_SQL,
+    "bronze_as_of": ORDERS_SQL,
+    "load_audit": f"""SELECT 1 AS load, 'committed' AS status, 0 AS version, count(*) AS n_rows FROM orders
+UNION ALL SELECT 2, 'failed', NULL, NULL
+UNION ALL SELECT 3, 'committed', 1, count(*) FROM ({ORDERS_SQL}) WHERE amount > 100000""",
+    "load_check": f"SELECT table_name, n_rows AS n_written, n_rows AS n_read, true AS agrees FROM ({_COUNTS})",
     "bronze_schema_replace": f"SELECT o_orderkey, o_custkey, amount, order_date, amount > 100000 AS is_large FROM ({ORDERS_SQL})",
     "bronze_current_db": "SELECT o_orderstatus, count(*) AS n_rows FROM orders GROUP BY o_orderstatus",
     "parquet_roundtrip": "SELECT * FROM part",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws as D
+from ..operators.numbering import dense_numbers
 from ..schemas import ORDERS, PRODUCTS, USERS, conform
 
 # Fixed values.
@@ -52,6 +53,12 @@ SEED, FIRST_DAY, LAST_DAY = 42, dt.date(2024, 1, 1), dt.date(2024, 12, 31)
 AMOUNT_FROM, AMOUNT_TO, ORPHAN_FROM = 500, 50000, 99
 
 
+def spread(ids: DataFrame) -> DataFrame:
+    """The same ids over all cores, if they come in fewer partitions: draws cost more than moving ids."""
+    cores = ids.sparkSession.sparkContext.defaultParallelism
+    return ids if ids.rdd.getNumPartitions() >= cores else ids.repartition(cores)
+
+
 def products(sp: SparkSession, catalog: Sequence[tuple[str, str, str]] = CATALOG) -> DataFrame:
     """The product dimension, one row per catalog entry."""
     return sp.createDataFrame(list(catalog), PRODUCTS)
@@ -89,6 +96,12 @@ class OrderShape:
         k = max(1, rows // 1000)
         return cls(980 * k, 5 * k, 10 * k, 5 * k, n_users, n_products)
 
+    @classmethod
+    def covering(cls, n: int, n_users: int = 100, n_products: int = 20) -> OrderShape:
+        """The default proportions for exactly ``n`` numbers: what defects leave of them is clean, and fewer than 16 are all clean."""
+        k = n // 995 or int(n > 15)
+        return cls(n - 15 * k, min(5 * k, n - 15 * k), 10 * k, 5 * k, n_users, n_products)
+
 
 def order_columns(key: Column, shape: OrderShape, seed: int = SEED, method: str = "md5") -> list[Column]:
     """An order by its number; numbers above ``shape.clean`` carry the planted defects."""
@@ -113,10 +126,20 @@ def orders_clean(sp: SparkSession, n: int = 980, shape: OrderShape | None = None
     """``n`` orders without defects, or one for each ``id`` of ``ids``."""
     base = shape or OrderShape()
     only = OrderShape(n if ids is None else 2**62, 0, 0, 0, base.n_users, base.n_products)
-    ids = sp.range(1, n + 1, 1, partitions) if ids is None else ids
+    ids = sp.range(1, n + 1, 1, partitions) if ids is None else spread(ids)
     return conform(ids.select(*order_columns(F.col("id"), only, seed, method)), ORDERS)
 
 
+def orders_dirty_of(keys: DataFrame, key: str, n_users: int = 100, n_products: int = 20, seed: int = SEED, method: str = "md5") -> DataFrame:
+    """Orders with defects in the default proportions, one for each row of ``keys`` in the order of ``key``, and whole copies of the first few.
+
+    Keys may be sparse, repeated or of any type that sorts; the orders are numbered without gaps.
+    """
+    ids = dense_numbers(keys.select(key), [key], "id")
+    shape = OrderShape.covering(ids.total, n_users, n_products)
+    return orders_dirty(keys.sparkSession, shape, seed, method, ids=ids.rows.select("id"))
+
+
 def orders_dirty(sp: SparkSession, shape: OrderShape | None = None, seed: int = SEED, method: str = "md5", partitions: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Clean, missing and orphan orders as bands of one range, and whole copies of the first few.
 
@@ -129,6 +152,6 @@ def orders_dirty(sp: SparkSession, shape: OrderShape | None = None, seed: int =
     if ids is None:
         body, first = sp.range(1, total + 1, 1, partitions), sp.range(1, copied + 1, 1, 1)
     else:
-        body, first = ids.filter(F.col("id").between(1, total)), ids.filter(F.col("id").between(1, copied))
+        body, first = spread(ids.filter(F.col("id").between(1, total))), ids.filter(F.col("id").between(1, copied))
     body, copies = body.select(*columns), first.select(*columns)
     return conform(body.unionByName(copies), ORDERS)

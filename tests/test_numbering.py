@@ -1,0 +1,93 @@
+"""Dense numbers on sparse, repeated and hot keys; quality checks in one scan and over hot foreign keys."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import quality
+from millrace.operators.numbering import dense_numbers
+from millrace.sources import generate as G
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n, keys", [(500, 10**9), (500, 4), (300, 1), (1, 1), (0, 1)])
+def test_numbers_have_no_gaps_and_keep_the_order(spark, n, keys):
+    rnd = random.Random(n)
+    given = [(rnd.choice([None, -1, 1]) if rnd.random() < 0.02 else rnd.randrange(keys) * 7 - 3, i, "x") for i in range(n)]
+    df = spark.createDataFrame(given, "k bigint, i int, before string").repartition(5)
+    made = dense_numbers(df, ["k"], "number", start=10)
+    got = sorted(made.rows.collect(), key=lambda r: r.number)
+    assert made.total == n and [r.number for r in got] == list(range(10, 10 + n))
+    assert sorted(r.i for r in got) == list(range(n)) and made.rows.columns == ["k", "i", "before", "number"]
+    order = [(r.k is not None, r.k or 0) for r in got]
+    assert order == sorted(order)
+    assert {r.i: r.number for r in made.rows.collect()} == {r.i: r.number for r in got}  # a second look gives the same numbers
+
+
+def test_rows_of_one_key_fill_several_ranges(spark):
+    df = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = dense_numbers(df, ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [r[1] for r in spark.read.parquet(made.folder).groupBy(F.shiftright("__place", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(2, 1, 1, 1, 1, 9), (1, 2, 2, 2, 2, 9)], "k int, __place int, __tie int, __of int, __before int, number int")
+    got = sorted(dense_numbers(df, [F.desc("k")]).rows.collect(), key=lambda r: r.number)
+    assert [tuple(r) for r in got] == [(2, 1, 1, 1, 1, 1), (1, 2, 2, 2, 2, 2)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 995, 5000])
+def test_dirty_orders_of_any_keys_drop_none(spark, n):
+    keys = spark.range(n).select(F.concat(F.lit("key-"), F.col("id") * 977).alias("o"))
+    shape = G.OrderShape.covering(n)
+    assert shape.clean + shape.missing + shape.orphans == n
+    orders, products = G.orders_dirty_of(keys, "o"), G.products(spark)
+    found = {(r[0], r[1]): r[2] for r in quality.quality_summary(orders, ["order_id"], ["amount", "order_date"], [("product_id", products, "product_id")]).collect()}
+    k = n // 995 or int(n > 15)
+    copies = min(5 * k, n - 15 * k)
+    assert found == {("total", "*"): n + copies, ("null", "amount"): 5 * k, ("null", "order_date"): 5 * k, ("duplicate", "order_id"): copies, ("orphan", "product_id"): 5 * k}
+    assert orders.select("order_id").distinct().count() == n
+
+
+def test_summary_scans_its_input_once(spark, tmp_path):
+    rows = [(1, "a", 5, None, None), (1, "a", 5, 1.0, 2), (2, None, None, None, 2), (2, None, 7, 1.0, None), (3, "c", 8, 2.0, 9), (None, None, 5, 1.0, 2), (None, None, 5, 1.0, 2)]
+    spark.createDataFrame(rows, "k int, j string, fk int, x double, other bigint").write.parquet(f"{tmp_path}/fact")
+    spark.createDataFrame([(5,), (5,), (7,), (None,)], "key bigint").write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame([(2.0,)], "key double").write.parquet(f"{tmp_path}/two")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    made = quality.quality_summary(read("fact"), ["k", "j"], ["x", "fk"], [("fk", read("one"), "key"), ("other", read("two"), "key")])
+    plan = executed(made)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 3 and "Join" not in final
+    assert {(r[0], r[1]): r[2] for r in made.collect()} == {("total", "*"): 7, ("null", "x"): 2, ("null", "fk"): 1, ("duplicate", "k,j"): 3, ("orphan", "fk"): 1, ("orphan", "other"): 1}
+    empty = quality.quality_summary(read("fact").limit(0), ["k"], ["x"], [("fk", read("one"), "key")])
+    assert sorted(map(tuple, empty.collect())) == [("duplicate", "k", 0), ("null", "x", 0), ("orphan", "fk", 0), ("total", "*", 0)]
+    no_master = quality.quality_summary(read("fact"), ["k"], [], [("fk", read("one").limit(0), "key")])
+    assert {(r[0], r[1]): r[2] for r in no_master.collect()} == {("total", "*"): 7, ("duplicate", "k"): 3, ("orphan", "fk"): 6}
+
+
+def test_hot_foreign_keys_meet_the_master_once(spark):
+    fact = spark.range(0, 30_000, 1, 4).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3 == 1, 1).otherwise(F.col("id") % 50).alias("fk"))
+    master = spark.range(0, 40).select(F.col("id").alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = quality.orphan_count(fact, "fk", master, "key")
+        unknown = sum(1 for i in range(30_000) if i % 3 == 0 or (i % 3 == 2 and i % 50 >= 40))
+        assert made.collect()[0][0] == unknown
+        below = executed(made).split("== Initial Plan ==")[0].split("SortMergeJoin")[1]
+        fact_side = below[: below.index("Range")]
+        # counted before the exchange: a row for each key and task meets the join
+        assert "Exchange hashpartitioning(" in fact_side and "partial_count(1)" in fact_side.split("Exchange")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert quality.orphan_count(fact.limit(0), "fk", master, "key").collect()[0][0] == 0
