@@ -89,6 +89,12 @@ def stored(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).stored(df)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one that no column of ``df`` has, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"__{name}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for name in names]
+
+
 def sized(df: DataFrame, most: int = 400_000) -> DataFrame:
     """A stored table of ids marked for broadcast if it has at most ``most`` rows, as counted; else it is left to a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, sized, stored
+from .common import per_batch, sized, stored, unused
 
 #: One edit is allowed for so many characters of an item; characters of items that one automaton holds.
 CHARS_PER_EDIT, BLOCK_CHARS = 16, 1 << 20
@@ -162,5 +162,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     A row goes if its own text holds an item, whatever other rows of its doc_id hold.
     """
     rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
-    hits = stored(contaminated(rows, items, **options).select(F.col("doc_id.doc_id").alias("__hit"), F.col("doc_id.text_hash").alias("__hash")).distinct())
-    return docs.join(sized(hits), (F.col("doc_id") == F.col("__hit")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    key, row = unused(docs, "hit", "hash")
+    hits = stored(contaminated(rows, items, **options).select(F.col("doc_id.doc_id").alias(key), F.col("doc_id.text_hash").alias(row)).distinct())
+    return docs.join(sized(hits), (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(row)), "left_anti")

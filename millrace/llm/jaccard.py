@@ -1,11 +1,14 @@
 """Operator 9: n-gram Jaccard join with signature trees.
 
 Spark deals documents out so that any two that link meet: the range of shingle
-hashes is cut into more parts than the two sets can differ in, so one part at
-least is the same in both, and its hash is a key that both have. Documents
+hashes is cut into more parts than the two sets can differ in, so several parts
+at least are the same in both, and their hashes are keys that both have. Each set
+leaves out its most frequent keys, as many as leave one in common: what is in many
+documents brings none of them together. Documents
 that share keys form clusters. Within a cluster a tree of OR-combined bitmaps
 and size ranges is joined with itself, and pairs of nodes whose largest
-possible overlap is too small are left out with all that lies below them.
+possible overlap is too small, or whose sets are all connected, are left out
+with all that lies below them.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, give_back, per_batch, rows_of, sized, words_of
+from .common import Scratch, give_back, per_batch, rows_of, sized, unused, words_of
 from .graph import components
 
 #: Shingles that one group of a cluster holds; documents that stand for a cluster in each of its groups.
 GROUP_SHINGLES, PIVOTS = 1 << 20, 4
 LEAF, FANOUT = 16, 8
+#: Sets of which a task remembers that it has connected them.
+REMEMBERED = 1 << 18
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -52,6 +57,11 @@ class Rule:
         out.append(low * self.den // self.num)
         return np.array(out, np.int64)
 
+    @property
+    def band(self) -> float:
+        """Logarithm of a band of sizes: sets that link are in the same band or in neighbouring ones, with room for rounding."""
+        return float(np.log(1.0001 * self.den / self.num))
+
     def differing(self, total: np.ndarray) -> np.ndarray:
         """The most elements in which two linking sets of this total size differ."""
         return total * (self.den - self.num) // (self.den + self.num)
@@ -96,13 +106,15 @@ def set_ids(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mixed(totals(mixed(h + np.uint64(1)), bounds) ^ (np.diff(bounds).astype(np.uint64) << np.uint64(40))).view(np.int64) & ~1
 
 
-def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, step): of each set, the hash of each part, for its size class (step 0) and the next one (step 1).
+def keys_and_spare(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, step, spare): of each set, the hash of each part, for its size class (step 0) and the next one (step 1).
 
-    There are a few more parts than the sets of a class can differ in. A set
+    There are a quarter more parts than the sets of a class can differ in. A set
     with so few parts that hold anything that all could differ also has keys of
     its empty parts; of two such sets that link, an empty part may be all that
-    they have in common.
+    they have in common. Otherwise two sets that link have more keys in common
+    than ``spare`` (by set and step): if each leaves out that many of its own, the first in an
+    order that is the same for all, the last common one is left to both.
     """
     size = np.diff(bounds)
     limit = rule.classes(int(size.max(initial=1)))
@@ -110,13 +122,14 @@ def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray
     salted = mixed(h ^ np.uint64(0x94D049BB133111EB))
     high = h >> np.uint64(32)
     row = rows_of(bounds)
+    spare = np.zeros((len(size), 2), np.int64)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), spare
     own = np.searchsorted(limit, size, "left")
     for step in (0, 1):
         cls = own + step
         most = rule.differing(2 * limit[cls])
-        count = most + 2 + most // 20
+        count = most + 2 + most // 4
         part = (high * count.astype(np.uint64)[row]) >> np.uint64(32)
         start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part.astype(np.int64), prepend=-1) != 0))
         total = totals(salted, np.append(start, len(h)))
@@ -126,12 +139,18 @@ def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray
         steps.append(np.full(len(at), step))
         keys.append(mixed(total ^ mixed(name + np.uint64(7))))
         filled = np.bincount(at, minlength=len(size))
+        spare[:, step] = np.maximum(0, filled - most - 1)
         for i in np.flatnonzero((size > 0) & (filled <= most)):
             empty = np.setdiff1d(np.arange(count[i]), part[bounds[i] : bounds[i + 1]].astype(np.int64))
             rows.append(np.full(len(empty), i))
             steps.append(np.full(len(empty), step))
             keys.append(mixed(mixed((np.uint64(cls[i]) << np.uint64(32)) + empty.astype(np.uint64) + np.uint64(7)) ^ np.uint64(0xFEED)))
-    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(steps)
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(steps), spare
+
+
+def part_keys(bounds: np.ndarray, h: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, step), all keys of each set."""
+    return keys_and_spare(bounds, h, rule)[:3]
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -168,20 +187,38 @@ class SignatureTree:
         sizes[sizes] = np.minimum(overlap, np.minimum(hi[i], hi[j])) >= rule.needed(lo[i] + lo[j])
         return sizes
 
-    def pairs(self, rule: Rule):
-        """Arrays (i, j) of sets, i < j, that no bound rules out; node pairs are worked off in bounded runs."""
+    def roots(self, label: np.ndarray) -> list[np.ndarray]:
+        """By level, the label that all sets below a node have, or -1."""
+        out, width = [label], LEAF
+        for _ in self.levels[:-1]:
+            at = np.arange(0, len(out[0]), width)
+            low, high = np.minimum.reduceat(out[0], at), np.maximum.reduceat(out[0], at)
+            out.insert(0, np.where(low == high, low, -1))
+            width = FANOUT
+        return out
+
+    def pairs(self, rule: Rule, label: np.ndarray | None = None):
+        """Arrays (i, j) of sets, i < j, that no bound rules out; node pairs are worked off in bounded runs.
+
+        Pairs of nodes whose sets have one ``label`` are left out; the caller changes labels as it connects sets.
+        """
+        label = np.arange(len(self.size)) if label is None else label
         last = len(self.levels) - 1
         stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        root, age = self.roots(label), 1
         while stack:
             level, i, j = stack.pop()
             if len(i) > 4096:
                 stack.append((level, i[4096:], j[4096:]))
                 i, j = i[:4096], j[:4096]
+            apart = (root[level][i] != root[level][j]) | (root[level][i] < 0)
+            i, j = i[apart], j[apart]
             keep = self.possible(level, i, j, rule)
             i, j = i[keep], j[keep]
             if level == last:
                 if (i < j).any():
                     yield i[i < j], j[i < j]
+                    root, age = root if age % 16 else self.roots(label), age + 1
             elif len(i):
                 n, width = len(self.levels[level + 1][0]), LEAF if level + 1 == last else FANOUT
                 step = np.arange(width)
@@ -195,36 +232,31 @@ def joined_sets(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray, rule
     """(smallest, other) of the ids that links connect; sets with the same ``known`` label are taken as connected."""
     order = np.lexsort([[int(s[0]) if len(s) else 0 for s in sets], [len(s) for s in sets]])
     sets, ids = [sets[i] for i in order], ids[order]
-    _, first = np.unique(known[order], return_inverse=True)
-    parent = list(range(first.max(initial=-1) + 1))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in SignatureTree(sets).pairs(rule) if len(sets) > 1 else ():
-        top = np.array([root(x) for x in range(len(parent))])
-        apart = top[first[i]] != top[first[j]]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            x, y = root(first[a]), root(first[b])
+    _, label = np.unique(known[order], return_inverse=True)
+    at = np.argsort(label, kind="stable")
+    members = dict(enumerate(np.split(at, np.flatnonzero(np.diff(label[at])) + 1))) if len(at) else {}
+    for i, j in SignatureTree(sets).pairs(rule, label) if len(sets) > 1 else ():
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = label[a], label[b]
             if x == y:
                 continue
             s, t = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            if int((t[at] == s).sum()) >= rule.needed(len(s) + len(t)):
-                parent[y] = x
-    own = np.array([root(x) for x in first.tolist()], np.int64)
-    order = np.lexsort([ids, own])
-    start = np.flatnonzero(np.diff(own[order], prepend=-1))
+            place = np.searchsorted(t, s)
+            place[place == len(t)] = 0
+            if int((t[place] == s).sum()) >= rule.needed(len(s) + len(t)):
+                if len(members[x]) < len(members[y]):
+                    x, y = y, x
+                moved = members.pop(y)
+                label[moved] = x  # the fewer ones move, so each set moves seldom
+                members[x] = np.concatenate([members[x], moved])
+    order = np.lexsort([ids, label])
+    start = np.flatnonzero(np.diff(label[order], prepend=-1))
     least = np.repeat(ids[order][start], np.diff(np.append(start, len(order))))
     return [(int(a), int(b)) for a, b in zip(least, ids[order], strict=True) if a != b]
 
 
 def _runs(batches):
-    """(a, b): of sorted keys, the first set of each key with each further one, unless the task has connected them."""
+    """(a, b): of sorted keys, the first set of each key with each further one, unless the task has lately connected them."""
     key, pivot, parent = None, None, {}
 
     def root(x):
@@ -249,6 +281,8 @@ def _runs(batches):
                 out.append((x, y))
         yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
         key, pivot = k[-1], a[-1]
+        if len(parent) > REMEMBERED:  # it only saves repeats
+            parent.clear()
 
 
 def _linked(rule: Rule, rows: pd.DataFrame) -> pd.DataFrame:
@@ -283,60 +317,74 @@ def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
-        row, keys, step = part_keys(bounds, h, rule)
+        row, keys, step, spare = keys_and_spare(bounds, h, rule)
         order = np.lexsort([step, row])
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
         return pa.record_batch(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
-            names=["doc_id", "text_hash", "n_shingles", "sid", "n_own", "keys"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.array(list(spare), pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
+            names=["doc_id", "text_hash", "n_shingles", "sid", "n_own", "spare", "keys"],
         )
 
-    keyed = work.stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
+    keyed = work.stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("spare", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])))
     full = keyed.filter("n_shingles > 0")
+    # a row of each set to read it from again: of the smallest doc_id, or without one
+    first_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
+    firsts = work.stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), first_hash, F.first("n_shingles").alias("n"), F.first("spare").alias("spare")))
     # one row of keys for each distinct set; in its next size class a set goes by the odd number after its own
     distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n_own").alias("n_own"))
     dealt = distinct.select("sid", "n_own", F.posexplode("keys").alias("i", "key"))
-    dealt = dealt.select("key", (F.col("sid") + (F.col("i") >= F.col("n_own")).cast("bigint")).alias("sid")).repartition("key").sortWithinPartitions("key", "sid")
+    dealt = dealt.select("key", (F.col("sid") + (F.col("i") >= F.col("n_own")).cast("bigint")).alias("sid")).repartition("key")
+    # keys of several sets, by which a set is found but for its most frequent ones; both uses share the exchange by key
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n_sets")).filter("n_sets > 1").select(F.col("key").alias("k"), "n_sets")
+    of_set = dealt.join(shared, F.col("key") == F.col("k")).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n_sets", "key")), False).alias("keys"))
+    spare = firsts.filter("spare[0] > 0 OR spare[1] > 0").select(F.col("sid").alias("s"), "spare")
+    left = of_set.join(spare, F.col("sid").bitwiseAND(F.lit(-2)) == F.col("s"), "left").withColumn("out", F.coalesce(F.get("spare", F.col("sid").bitwiseAND(F.lit(1)).cast("int")), F.lit(0)).cast("int"))
+    left = left.filter(F.size("keys") > F.col("out")).select("sid", F.explode(F.transform(F.slice("keys", F.col("out") + 1, F.size("keys") - F.col("out")), lambda x: x["key"])).alias("key"))
+    dealt = left.select("key", "sid").repartition("key").sortWithinPartitions("key", "sid")
     # a set's first sets, of which it has no more than keys, are linked to the smallest of them
     stars = dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("s"))
     near = stars.select(F.col("s")[0].alias("a"), F.explode(F.array_append(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("b"))).alias("b")).distinct()
-    # a row of each set to read it from again: of the smallest doc_id, or without one
-    first_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
-    firsts = work.stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), first_hash, F.first("n_shingles").alias("n")))
     clusters = components(near, work=work)
     base = work.stored(keyed.select("doc_id", "text_hash", "n_shingles", "sid"))
     work.drop(keyed)
     clusters = clusters.select(F.col("node").bitwiseAND(F.lit(-2)).alias("of"), F.col("label").alias("cluster"))
     members = work.stored(firsts.join(sized(clusters), clusters["of"] == firsts["sid"]).select("sid", "first_id", "first_hash", "n", "cluster"))
-    large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"), F.ceil(F.col("total") / group_shingles).cast("int").alias("blocks"))
+    large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"))
     large = work.stored(large)
-    placed = work.stored(members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "first_hash", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), "blocks")).cast("int").alias("block")))
+    # a split cluster is dealt by band of sizes, so that a block meets those of its own band and the neighbouring ones, and then by hash
+    band = F.when(F.col("big").isNull(), 0).otherwise(F.floor(F.log("n") / F.lit(rule.band))).cast("int")
+    banded = members.join(large, members["cluster"] == large["big"], "left").select("sid", "first_id", "first_hash", "n", "cluster", F.col("big").isNotNull().alias("split"), band.alias("band"))
+    blocks = banded.filter("split").groupBy(F.col("cluster").alias("c"), F.col("band").alias("z")).agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("blocks"))
+    blocks = work.stored(blocks)
+    block = F.coalesce(F.pmod(F.xxhash64("sid"), "blocks"), F.lit(0)).cast("int").alias("block")
+    placed = work.stored(banded.join(sized(blocks), (F.col("cluster") == F.col("c")) & (F.col("band") == F.col("z")), "left").select("sid", "first_id", "first_hash", "cluster", "split", "band", block))
 
     def texts_to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
         right = set_ids(bounds, h) == batch.column("sid").to_numpy()
         raw = h.tobytes()
         out = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cluster", "block", "blocks")), out], names=["sid", "cluster", "block", "blocks", "shingles"]).filter(pa.array(right))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cluster", "split", "band", "block")), out], names=["sid", "cluster", "split", "band", "block", "shingles"]).filter(pa.array(right))
 
-    wanted = placed.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash"), "sid", "cluster", "block", "blocks")
-    fields = ["text", "sid", "cluster", "block", "blocks"]
+    wanted = placed.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash"), "sid", "cluster", "split", "band", "block")
+    fields = ["text", "sid", "cluster", "split", "band", "block"]
     texts = slim.join(sized(wanted.filter("__id IS NOT NULL")), (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(*fields)
     nameless = wanted.filter("__id IS NULL")
     if nameless.limit(1).count():  # such rows repeat under no name of their own
         texts = texts.unionByName(slim.filter("doc_id IS NULL").dropDuplicates(["text_hash"]).join(sized(nameless), F.col("text_hash") == F.col("__hash")).select(*fields))
-    loaded = texts.mapInArrow(per_batch(texts_to_sets), "sid bigint, cluster bigint, block int, blocks int, shingles binary")
+    loaded = texts.mapInArrow(per_batch(texts_to_sets), "sid bigint, cluster bigint, split boolean, band int, block int, shingles binary")
     split = large.limit(1).count() > 0
     if split:
         loaded = work.stored(loaded)
     link_kind = "a bigint, b bigint"
-    groups = loaded.select("cluster", "block", "sid", F.col("sid").alias("known"), "shingles")
-    if split:  # a few sets of a split cluster go to all of its blocks
+    meets = ["cluster", "band", "block"]
+    groups = loaded.select(*meets, "sid", F.col("sid").alias("known"), "shingles")
+    if split:  # a few sets of each band of a split cluster go to all blocks of that band and the neighbouring ones
         pivots = _pivots(loaded)
-        groups = groups.unionByName(pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.col("sid").alias("known"), "shingles"))
-    links = work.stored(groups.groupBy("cluster", "block").applyInPandas(lambda rows: _linked(rule, rows), link_kind))
+        groups = groups.unionByName(_beside(pivots, blocks).select("cluster", F.col("z").alias("band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.col("sid").alias("known"), "shingles"))
+    links = work.stored(groups.groupBy(*meets).applyInPandas(lambda rows: _linked(rule, rows), link_kind))
     if split:
-        links = links.unionByName(_across(loaded, links, rule, group_shingles, link_kind, work))
+        links = links.unionByName(_across(loaded, links, blocks, rule, group_shingles, link_kind, work))
     found = components(links, work=work)
     labelled = work.stored(firsts.join(sized(found), firsts["sid"] == found["node"]).select("sid", "first_id", "label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -348,32 +396,43 @@ def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -
 
 
 def _pivots(loaded: DataFrame) -> DataFrame:
-    """A few sets of each split cluster: the smallest id of each of PIVOTS hash classes."""
-    some = loaded.filter("blocks > 1")
-    chosen = some.groupBy("cluster", F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).alias("c")).agg(F.min("sid").alias("chosen")).select("chosen")
-    return some.join(chosen, F.col("sid") == F.col("chosen"), "left_semi")
+    """A few sets of each band of a split cluster: the smallest id of each of PIVOTS hash classes."""
+    some = loaded.filter("split")
+    chosen = some.groupBy("cluster", "band", F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).alias("of")).agg(F.min("sid").alias("chosen")).select("chosen")
+    return some.join(sized(chosen), F.col("sid") == F.col("chosen"), "left_semi")
+
+
+def _beside(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The sets with each band of their cluster that can hold one that links, and the number of its blocks."""
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    return sets.withColumn("beside", near).join(sized(blocks), (F.col("cluster") == F.col("c")) & (F.col("beside") == F.col("z")))
 
 
-def _across(loaded: DataFrame, links: DataFrame, rule: Rule, group_shingles: int, kind: str, work: Scratch) -> DataFrame:
+def _across(loaded: DataFrame, links: DataFrame, blocks: DataFrame, rule: Rule, group_shingles: int, kind: str, work: Scratch) -> DataFrame:
     """Links between blocks of a cluster that are not connected yet.
 
-    What lies outside a cluster's largest component so far, in chunks, meets
-    every block of the cluster; pairs within one component are not compared.
+    What lies outside a cluster's largest component so far, in chunks by band
+    of sizes, meets the blocks of its own band and the neighbouring ones; pairs
+    within one component are not compared.
     """
-    some = loaded.filter("blocks > 1")
+    some = loaded.filter("split")
     labels = components(links, work=work)
-    known = some.join(labels, some["sid"] == labels["node"], "left").select("cluster", "block", "blocks", "sid", "shingles", F.coalesce("label", "sid").alias("known"))
+    known = some.join(labels, some["sid"] == labels["node"], "left").select("cluster", "band", "block", "sid", "shingles", F.coalesce("label", "sid").alias("known"))
     known = work.stored(known)
     counts = known.groupBy("cluster", "known").agg(F.count("*").alias("n"))
-    largest = counts.groupBy(F.col("cluster").alias("c")).agg(F.max_by("known", F.struct("n", "known")).alias("main"))
-    outside = known.join(largest, (known["cluster"] == largest["c"]) & (known["known"] == largest["main"]), "left_anti")
-    sizes = outside.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.sum(F.length("shingles")) / 8 / group_shingles).cast("int").alias("chunks"))
+    largest = counts.groupBy(F.col("cluster").alias("big")).agg(F.max_by("known", F.struct("n", "known")).alias("main"))
+    outside = known.join(largest, (known["cluster"] == largest["big"]) & (known["known"] == largest["main"]), "left_anti")
+    sizes = outside.groupBy(F.col("cluster").alias("c"), F.col("band").alias("z")).agg(F.ceil(F.sum(F.length("shingles")) / 8 / group_shingles).cast("int").alias("blocks"))
     sizes = work.stored(sizes)
-    fields = ["cluster", "block", "chunk", "sid", "known", "shingles"]
-    dealt = outside.join(sizes, outside["cluster"] == sizes["c"]).withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*fields)
-    spread = known.join(sizes, known["cluster"] == sizes["c"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*fields)
-    return work.stored(dealt.unionByName(spread).groupBy("cluster", "block", "chunk").applyInPandas(lambda rows: _linked(rule, rows), kind))
+    meets, fields = ["cluster", "z", "block", "of", "chunk"], ["sid", "known", "shingles"]
+    numbers = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    # an outside set is in one chunk of its band, and goes with it to all blocks beside it
+    own = outside.drop("block").join(sized(sizes.withColumnRenamed("blocks", "chunks").withColumnsRenamed({"c": "oc", "z": "of"})), (F.col("cluster") == F.col("oc")) & (F.col("band") == F.col("of")))
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = _beside(own, blocks).select("cluster", "z", numbers("blocks", "block"), "of", "chunk", *fields)
+    # a set in a block meets all chunks beside it
+    spread = _beside(known, sizes).select("cluster", F.col("band").alias("own"), "block", F.col("z").alias("of"), numbers("blocks", "chunk"), *fields).withColumnRenamed("own", "z")
+    return work.stored(dealt.select(*meets, *fields).unionByName(spread.select(*meets, *fields)).groupBy(*meets).applyInPandas(lambda rows: _linked(rule, rows), kind))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -388,11 +447,12 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, gro
     found = work.stored(_labelled(docs, Rule(words, num, den), group_shingles, work).filter("n_shingles > 0 AND doc_id IS NOT NULL"))
     stays = found.filter("doc_id = component_id").groupBy(F.col("label").alias("l")).agg(F.min("text_hash").alias("keep"))
     gone = found.join(stays, found["label"] == stays["l"]).filter("doc_id <> component_id OR text_hash <> keep")
-    gone = work.stored(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = work.stored(repeated.join(gone, ["__id", "__hash"], "left_anti").select("__id", "__hash"))
+    key, row = unused(docs, "id", "hash")
+    gone = work.stored(gone.select(F.col("doc_id").alias(key), F.col("text_hash").alias(row)).distinct())
+    repeated = found.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(row)).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = work.stored(repeated.join(gone, [key, row], "left_anti").select(key, row))
     work.drop_all_but(gone, repeated)
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(row))
     single = docs.join(sized(gone), same, "left_anti")
     if not repeated.limit(1).count():
         return single

@@ -145,3 +145,87 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted([(1, a), (1, b), (3, c), (4, "another text of its own"), (None, a), (5, ""), (6, None), (6, None)], key=repr)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_most_frequent_keys_can_be_left_out(num):
+    """Of the keys that two linking sets share, one is left whatever the other sets make frequent."""
+    rng = np.random.default_rng(num)
+    rule = J.Rule(3, num, 100)
+    checked = 0
+    for n in [1, 2, 5, 10, 20, 37, 100, 501]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+            drop, add = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
+            b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 2**64 - 1, add, dtype=np.uint64)))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                row, key, step, spare = J.keys_and_spare(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), rule)
+                keys = {(r, s): {int(k) for k in key[(row == r) & (step == s)]} for r in (0, 1) for s in (0, 1)}
+                for order in (lambda k: (k in keys[0, 0] and k in keys[1, 0], k), lambda k: (k in keys[0, 1] and k in keys[1, 0], k), lambda k: k):
+                    # the worst order puts what both have first
+                    left = {x: set(sorted(keys[x], key=order, reverse=True)[int(spare[x]) :]) for x in keys}
+                    assert left[0, 0] & left[1, 0] or left[0, 1] & left[1, 0] or left[0, 0] & left[1, 1]
+                checked += int(spare.max()) > 0
+    assert checked > 20
+
+
+def test_passages_of_many_documents_bring_none_together(spark):
+    """A passage that makes up a third of each text is no key, so that unlike documents are no cluster."""
+    rnd = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, f"{passage} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(120))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1] + " and more") for i in range(20)]
+    bounds, h = J.shingles(pa.array([t for _, t in docs]), 5)
+    row, key, step, spare = J.keys_and_spare(bounds, h, J.Rule(5, 80, 100))
+    count = {}
+    for k in key.tolist():
+        count[k] = count.get(k, 0) + 1
+    left, all_shared = set(), set()
+    for r in range(400):
+        for s in (0, 1):
+            own = sorted(key[(row == r) & (step == s)].tolist(), key=lambda k: (-count[k], -k))
+            all_shared |= {r for k in own if count[k] > 3}
+            left |= {r for k in own[int(spare[r, s]) :] if count[k] > 3}
+    assert len(all_shared) > 300 and len(left) < 60
+    got = J.jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(4))
+    assert sorted(map(tuple, got.collect())) == brute(docs, 5, 80, 100)
+
+
+def test_many_near_copies_in_one_group_are_quick():
+    import time
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.permutation(base)[3:], rng.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(20_000)]
+    other = [np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64)) for _ in range(500)]
+    ids = np.arange(len(sets) + len(other)) * 2
+    began = time.time()
+    found = J.joined_sets(ids, sets + other, ids, J.Rule(3, 90, 100))
+    assert time.time() - began < 60
+    assert sorted(b for _, b in found) == ids[1:20_000].tolist() and {a for a, _ in found} == {0}
+
+
+def test_known_labels_are_not_compared():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    sets = [np.unique(base[k:]) for k in (0, 0, 1, 30)]
+    ids = np.array([8, 2, 4, 6])
+    assert sorted(J.joined_sets(ids, sets, np.array([1, 1, 2, 2]), J.Rule(3, 90, 100))) == [(2, 4), (2, 6), (2, 8)]
+    assert sorted(J.joined_sets(ids, sets, ids, J.Rule(3, 90, 100))) == [(2, 4), (2, 8)]
+
+
+def test_split_clusters_of_many_sizes(spark):
+    """A chain of growing texts, of which neighbours link, over blocks of a few sets."""
+    rnd = random.Random(12)
+    words, docs = [f"w{i}" for i in range(900)], []
+    for i in range(90):
+        docs.append((i, " ".join(words[: 20 + int(1.045**i * 8)])))
+        docs.append((500 + i, " ".join(rnd.sample(words, 10)) + " " + " ".join(words[: 60 + 5 * i])))
+    got = J.jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(3), 3, 90, 100, 600)
+    assert sorted(map(tuple, got.collect())) == brute(docs, 3, 90, 100)
+
+
+def test_helper_names_in_documents(spark):
+    rows = [(1, "one two three four five six", 1, 2, 3), (2, "one two three four five six", 1, 2, 3), (-3, "other words here altogether", 1, 2, 3), (-3, "other words here altogether", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __id int, __hash int, __ID_ int")
+    assert sorted((r.doc_id, r["__id"], r["__hash"]) for r in J.keep_one(df).collect()) == [(-3, 1, 2), (1, 1, 2)]
