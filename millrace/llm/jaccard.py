@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -317,36 +317,40 @@ def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds, h = shingles(batch.column("text"), words)
-        row, keys, step, spare = keys_and_spare(bounds, h, rule)
-        order = np.lexsort([step, row])
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-        return pa.record_batch(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h)), pa.array(np.bincount(row[step == 0], minlength=batch.num_rows)), pa.array(list(spare), pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(keys[order]))],
-            names=["doc_id", "text_hash", "n_shingles", "sid", "n_own", "spare", "keys"],
-        )
-
-    keyed = work.stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n_own", T.LongType()), T.StructField("spare", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])))
-    full = keyed.filter("n_shingles > 0")
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds)), pa.array(set_ids(bounds, h))], names=["doc_id", "text_hash", "n_shingles", "sid"])
+
+    base = work.stored(slim.mapInArrow(per_batch(sets_of), T.StructType([kind, T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())])))
     # a row of each set to read it from again: of the smallest doc_id, or without one
     first_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
-    firsts = work.stored(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), first_hash, F.first("n_shingles").alias("n"), F.first("spare").alias("spare")))
-    # one row of keys for each distinct set; in its next size class a set goes by the odd number after its own
-    distinct = full.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n_own").alias("n_own"))
-    dealt = distinct.select("sid", "n_own", F.posexplode("keys").alias("i", "key"))
-    dealt = dealt.select("key", (F.col("sid") + (F.col("i") >= F.col("n_own")).cast("bigint")).alias("sid")).repartition("key")
-    # keys of several sets, by which a set is found but for its most frequent ones; both uses share the exchange by key
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n_sets")).filter("n_sets > 1").select(F.col("key").alias("k"), "n_sets")
-    of_set = dealt.join(shared, F.col("key") == F.col("k")).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n_sets", "key")), False).alias("keys"))
-    spare = firsts.filter("spare[0] > 0 OR spare[1] > 0").select(F.col("sid").alias("s"), "spare")
-    left = of_set.join(spare, F.col("sid").bitwiseAND(F.lit(-2)) == F.col("s"), "left").withColumn("out", F.coalesce(F.get("spare", F.col("sid").bitwiseAND(F.lit(1)).cast("int")), F.lit(0)).cast("int"))
-    left = left.filter(F.size("keys") > F.col("out")).select("sid", F.explode(F.transform(F.slice("keys", F.col("out") + 1, F.size("keys") - F.col("out")), lambda x: x["key"])).alias("key"))
-    dealt = left.select("key", "sid").repartition("key").sortWithinPartitions("key", "sid")
+    firsts = work.stored(base.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), first_hash, F.first("n_shingles").alias("n")))
+
+    def keys_of(batches):
+        seen: set[int] = set()
+
+        def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sid = batch.column("sid").to_numpy()
+            new = np.array([not (i in seen or seen.add(i)) for i in sid.tolist()], bool)  # rows that repeat give their keys once
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            bounds, h = shingles(batch.column("text").filter(pa.array(new)), words)
+            sid = sid[new]
+            row, keys, step, spare = keys_and_spare(bounds, h, rule)
+            right = (set_ids(bounds, h) == sid)[row]
+            row, keys, step = row[right], keys[right], step[right]
+            # in its next size class a set goes by the odd number after its own
+            return pa.record_batch([pa.array(keys), pa.array(sid[row] + step), pa.array(spare[row, step].astype(np.int32))], names=["key", "sid", "spare"])
+
+        yield from per_batch(keyed)(batches)
+
+    dealt = _texts_of(slim, firsts, ["sid"]).mapInArrow(keys_of, "key bigint, sid bigint, spare int").repartition("key")
+    # of its keys that several sets have, a set leaves out the most frequent ones
+    dealt = dealt.withColumn("n_sets", F.count("*").over(Window.partitionBy("key"))).filter("n_sets > 1")
+    often = Window.partitionBy("sid").orderBy(F.desc("n_sets"), F.desc("key"))
+    dealt = dealt.withColumn("place", F.row_number().over(often)).filter("place > spare").select("key", "sid").repartition("key").sortWithinPartitions("key", "sid")
     # a set's first sets, of which it has no more than keys, are linked to the smallest of them
     stars = dealt.mapInArrow(_runs, "a bigint, b bigint").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("s"))
     near = stars.select(F.col("s")[0].alias("a"), F.explode(F.array_append(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("b"))).alias("b")).distinct()
     clusters = components(near, work=work)
-    base = work.stored(keyed.select("doc_id", "text_hash", "n_shingles", "sid"))
-    work.drop(keyed)
     clusters = clusters.select(F.col("node").bitwiseAND(F.lit(-2)).alias("of"), F.col("label").alias("cluster"))
     members = work.stored(firsts.join(sized(clusters), clusters["of"] == firsts["sid"]).select("sid", "first_id", "first_hash", "n", "cluster"))
     large = members.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select(F.col("cluster").alias("big"))
@@ -366,12 +370,7 @@ def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -
         out = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cluster", "split", "band", "block")), out], names=["sid", "cluster", "split", "band", "block", "shingles"]).filter(pa.array(right))
 
-    wanted = placed.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash"), "sid", "cluster", "split", "band", "block")
-    fields = ["text", "sid", "cluster", "split", "band", "block"]
-    texts = slim.join(sized(wanted.filter("__id IS NOT NULL")), (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(*fields)
-    nameless = wanted.filter("__id IS NULL")
-    if nameless.limit(1).count():  # such rows repeat under no name of their own
-        texts = texts.unionByName(slim.filter("doc_id IS NULL").dropDuplicates(["text_hash"]).join(sized(nameless), F.col("text_hash") == F.col("__hash")).select(*fields))
+    texts = _texts_of(slim, placed, ["sid", "cluster", "split", "band", "block"])
     loaded = texts.mapInArrow(per_batch(texts_to_sets), "sid bigint, cluster bigint, split boolean, band int, block int, shingles binary")
     split = large.limit(1).count() > 0
     if split:
@@ -395,6 +394,16 @@ def _labelled(docs: DataFrame, rule: Rule, group_shingles: int, work: Scratch) -
     return base.join(resolved, (base["sid"] == resolved["s2"]) & (base["n_shingles"] > 0), "left").select("doc_id", "text_hash", "n_shingles", "label", own)
 
 
+def _texts_of(slim: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """(text, *fields): the wanted sets' rows, read again; a row that repeats comes each time."""
+    wanted = wanted.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash"), *fields)
+    texts = slim.join(sized(wanted.filter("__id IS NOT NULL")), (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", *fields)
+    nameless = wanted.filter("__id IS NULL")
+    if nameless.limit(1).count():  # such rows repeat under no name of their own
+        texts = texts.unionByName(slim.filter("doc_id IS NULL").dropDuplicates(["text_hash"]).join(sized(nameless), F.col("text_hash") == F.col("__hash")).select("text", *fields))
+    return texts
+
+
 def _pivots(loaded: DataFrame) -> DataFrame:
     """A few sets of each band of a split cluster: the smallest id of each of PIVOTS hash classes."""
     some = loaded.filter("split")
