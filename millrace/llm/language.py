@@ -189,13 +189,15 @@ def languages(docs: DataFrame, split: int = 5, held: int = 0, per_language: int
     language explains worse than nearly all of its sample. A text without
     letters, null or empty, is `und` with score 0, as is every text when no
     language was learned. A null doc_id has a null held_out and is not learned
-    from; repeated rows are predicted each; other columns are ignored.
+    from; repeated rows are predicted each; other columns are ignored. The
+    models are dense tables of all n-grams by all languages, for up to some
+    hundred languages.
     """
     slim = docs.select("doc_id", "text")
     usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("n").between(1, longest) & (remainder("doc_id", split) != held))
     usable = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("draw"))
     # of a common language only the lowest draws, a few more than are wanted, are shuffled and ranked
-    totals = usable.groupBy("lang").agg(F.count("*").alias("total"))
+    totals = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("total"))  # rows may repeat; within the few more
     drawn = usable.join(F.broadcast(totals), "lang").filter(F.col("draw") * F.col("total").cast("double") <= F.lit(2.0**31 * (per_language + per_language // 4 + 50))).select("doc_id", "lang", "draw").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = drawn.withColumn("k", rank).filter(F.col("k") <= per_language).select("doc_id", "lang", "k").dropDuplicates(["doc_id"])
