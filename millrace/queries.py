@@ -18,7 +18,7 @@ from .operators import defects, quality
 from .operators.numbering import dense_numbers
 from .plans import bronze
 from .sources import generate as G
-from .sources.tables import catalog_table, read, sequences, view_head
+from .sources.tables import catalog_table, read, sequence, sequences, view_head
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +120,13 @@ def gen_sequence(sp, d):
     return rows.select("o_orderkey", "n", F.col("n").cast("string").alias("n_text"), (F.col("n") + 99).alias("shifted"))
 
 
+def sequence_gaps(sp, d):
+    """Integers between the smallest and the largest customer of an order that no order has."""
+    orders = read(sp, d, "orders").select(F.col("o_custkey").alias("id"))
+    low, high = orders.agg(F.min("id"), F.max("id")).first()
+    return sequence(sp, low or 0, (high or -1) + 1).join(orders, "id", "left_anti")
+
+
 def gen_products(sp, d):
     """The catalog joined to the parts that take its entries in turn."""
     parts = read(sp, d, "part").select("p_partkey", D.padded_key("P", 1 + F.col("p_partkey") % len(G.CATALOG), 3).alias("product_id"))
@@ -375,6 +382,7 @@ UNION ALL SELECT 'null', 'order_date', count(*) FROM t WHERE order_date IS NULL
 UNION ALL SELECT 'duplicate', 'o_orderkey', count(*) FROM (SELECT o_orderkey FROM t GROUP BY o_orderkey HAVING count(*) > 1)
 UNION ALL SELECT 'orphan', 'o_custkey', count(*) FROM t WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     "gen_sequence": "SELECT o_orderkey, n, CAST(n AS VARCHAR) AS n_text, n + 99 AS shifted FROM (SELECT o_orderkey, unnest(range(o_orderkey, o_orderkey + o_orderkey % 6)) AS n FROM orders)",
+    "sequence_gaps": "SELECT id FROM (SELECT unnest(range((SELECT min(o_custkey) FROM orders), (SELECT max(o_custkey) + 1 FROM orders))) AS id) WHERE id NOT IN (SELECT o_custkey FROM orders)",
     "gen_products": "SELECT p_partkey, product_id, product_name, category FROM part JOIN (VALUES " + ", ".join(str(x) for x in G.CATALOG) + ") c(product_id, product_name, category) ON product_id = printf('P%03d', 1 + p_partkey % 20)",
     "gen_users": f"SELECT printf('U%03d', id) AS user_id, {_list(G.LAST_NAMES)}[1 + {draw_sql('last', 'id')} % 20] || {_list(G.FIRST_NAMES)}[1 + {draw_sql('first', 'id')} % 20] AS user_name, {_list(G.REGIONS)}[1 + {draw_sql('region', 'id')} % 8] AS region FROM (SELECT c_custkey AS id FROM customer)",
     "gen_orders_clean": f"SELECT {_order_sql('id', '4611686018427387904', '0')} FROM (SELECT o_orderkey AS id FROM orders)",

@@ -163,6 +163,6 @@ def test_entry_imports_without_the_text_operators(tmp_path, missing):
             path.unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(*q)"
     found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True).stdout.split()
-    assert "quality_summary" in found and len([q for q in found if not q.startswith("op") and q != "pipeline"]) == 35
+    assert "quality_summary" in found and len([q for q in found if not q.startswith("op") and q != "pipeline"]) == 36
     if missing:
         assert not any(q == "pipeline" or q.startswith("op") for q in found)
