@@ -61,7 +61,10 @@ class Scratch:
         self.spark, self.path, self.tables, self.made = spark, f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}", [], 0
 
     def stored(self, df: DataFrame) -> DataFrame:
-        """``df``, written and read back."""
+        """``df``, written and read back.
+
+        During the write the session frees shuffle files as soon as a query ends, those of other threads' queries, too.
+        """
         path = f"{self.path}/{self.made}"
         self.made += 1
         before = self.spark.conf.get(FREE_SHUFFLES, None)
