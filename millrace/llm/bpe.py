@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from .common import sums_by_row, words_of
 
-#: Distinct pieces that a worker remembers.
-REMEMBERED = 250_000
+#: Distinct pieces that a worker remembers, and those of which it remembers the ids of a vocabulary of bytes.
+REMEMBERED, REMEMBERED_IDS = 250_000, 450_000
 #: Pieces that are encoded at once.
 RUN = 512
 
@@ -38,8 +38,8 @@ def encode(path: str, texts: list[str]):
 class Memory:
     """What was computed for each piece of text, in two generations: the older one is dropped when the newer is full."""
 
-    def __init__(self, compute):
-        self.compute, self.new, self.old = compute, {}, {}
+    def __init__(self, compute, most: int = REMEMBERED):
+        self.compute, self.most, self.new, self.old = compute, most, {}, {}
 
     def of(self, pieces: list[str]) -> list:
         new, old = self.new, self.old
@@ -51,7 +51,7 @@ class Memory:
             part = missing[at : at + RUN]
             new.update(zip(part, self.compute(part), strict=True))
         found = list(map(new.__getitem__, pieces))
-        if len(new) > REMEMBERED:
+        if len(new) > self.most:
             self.old, self.new = new, {}
         return found
 
@@ -203,7 +203,7 @@ def byte_ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Texts are cut into units as in ``counts_of``.
     """
-    memory = _BYTE_IDS.setdefault(path, Memory(partial(_byte_ids, path)))
+    memory = _BYTE_IDS.setdefault(path, Memory(partial(_byte_ids, path), REMEMBERED_IDS))
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     lists = pc.split_pattern(texts, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
