@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache, partial
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +126,7 @@ def _byte_ids(path: str, units: list[str]) -> list[bytes]:
     out: list[bytes] = [b""] * len(units)
     run, alone = [], []
     for i, u in enumerate(units):
-        (run if u[:1] == " " and len(u) > 1 and " " not in u[1:] and not u[-1].isspace() else alone).append(i)
+        (run if u.rfind(" ") == 0 and len(u) > 1 and not u[-1].isspace() else alone).append(i)
     if run:
         ids = np.array(encode(path, ["".join([units[i] for i in run])])[0].ids, "<u4")
         starts = np.flatnonzero(space_starts(path)[ids])
@@ -198,6 +199,14 @@ def counts_of(path: str, texts: pa.Array) -> np.ndarray:
     return total
 
 
+def odd_ends(pieces: list[str]) -> np.ndarray:
+    """Which of the distinct pieces are empty or end with white space."""
+    odd = np.fromiter(map(ne, pieces, map(str.rstrip, pieces)), bool, len(pieces))
+    if "" in pieces:
+        odd[pieces.index("")] = True
+    return odd
+
+
 def byte_ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, ids as uint32) of each text for a vocabulary that keeps white space. Null is an empty text.
 
@@ -210,8 +219,10 @@ def byte_ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds -= bounds[0]
     coded = lists.flatten().dictionary_encode()
     codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    odd = np.fromiter((not p or p[-1].isspace() for p in pieces), bool, len(pieces))[codes] if pieces else np.zeros(0, bool)
-    plain = (sums_by_row(odd.astype(np.int64), bounds) == 0) & (np.diff(bounds) > 0)
+    ends_odd = odd_ends(pieces)
+    plain = np.diff(bounds) > 0
+    if ends_odd.any():
+        plain &= sums_by_row(ends_odd[codes].astype(np.int64), bounds) == 0
     openings, first = codes[bounds[:-1][plain]], bounds[:-1][plain]
     parts = memory.of([" " + p for p in pieces]) + memory.of([pieces[c] for c in openings])
     codes[first] = len(pieces) + np.arange(len(first))
@@ -234,8 +245,11 @@ def byte_ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(size) - size
     n = size[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
-    ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[codes] - ends[:-1], n) + np.arange(ends[-1])]
-    return ends[bounds], ids
+    # a slice of texts has few ids, so that most places fit in 32 bits
+    kind = np.int32 if max(ends[-1], size.sum()) < 1 << 31 else np.int64
+    at = np.repeat((start[codes] - ends[:-1]).astype(kind), n)
+    at += np.arange(ends[-1], dtype=kind)
+    return ends[bounds], np.frombuffer(b"".join(parts), "<u4")[at]
 
 
 def spliced_count(path: str, text: str, chunk: int = 32_768, overlap: int = 512) -> int:

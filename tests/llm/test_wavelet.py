@@ -59,6 +59,12 @@ def test_ids_are_the_librarys():
         assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_odd_ends_of_pieces():
+    pieces = ["", "a", "a ", "a\n", "\x1c", "b\x1f", "\u00a0", "x\u3000", " y", "\u200b"]
+    assert bpe.odd_ends(pieces).tolist() == [not p or p[-1].isspace() for p in pieces]
+    assert bpe.odd_ends([]).tolist() == []
+
+
 def plain(rows):
     """(doc_id, start, n_tokens, ids_crc32) by one pass over sorted rows."""
     library, at, out = Tokenizer.from_file(BYTE_BPE), 0, []
