@@ -1,0 +1,69 @@
+"""Connected components against a union-find, and what their joins make."""
+
+import random
+
+import pytest
+
+from millrace.llm.common import Scratch
+from millrace.llm.graph import components
+
+
+def roots(links):
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    return {x: root(x) for x in label}
+
+
+def joined_rows(spark, since):
+    """Rows that the joins of the executions after ``since`` made, as Spark counted them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, found = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in range(store.executionsList().size()):
+        k = store.executionsList().apply(i).executionId()
+        if k <= since:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = node.metrics() if "Join" in node.name() else None
+            for m in (metrics.apply(j) for j in range(metrics.size() if metrics else 0)):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return found
+
+
+def last_execution(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((executions.apply(i).executionId() for i in range(executions.size())), default=-1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    rnd = random.Random(seed)
+    ids = [rnd.randrange(-(2**62), 2**62) for _ in range(400)]
+    links = [tuple(rnd.sample(ids, 2)) for _ in range(250)] + [(ids[0], ids[0])]
+    path = rnd.sample(range(2**40), 100)
+    links += [*zip(path, path[1:], strict=False), (5, 5), (7, 8), (8, 7), (7, 8)]
+    got = components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3))
+    assert sorted((r.node, r.label) for r in got.collect()) == sorted(roots(links).items())
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_are_joined_in_few_rounds(spark):
+    """A band of nodes, each with links to many others, through which the smallest one is told in many steps."""
+    rnd = random.Random(4)
+    ids = rnd.sample(range(10**6), 500)
+    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, min(i + 25, len(ids)))]
+    df = Scratch(spark).stored(spark.createDataFrame(links, "a bigint, b bigint").repartition(4))
+    since = last_execution(spark)
+    got = components(df).collect()
+    assert {r.node: r.label for r in got} == roots(links)
+    assert 0 < joined_rows(spark, since) <= 3 * len(links)
